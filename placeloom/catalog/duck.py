@@ -111,7 +111,7 @@ def issue_list(lat="latitude", lon="longitude") -> list[tuple[str, str]]:
 
 def code_list(pairs) -> str:
     """Comma-joined codes of the conditions that hold."""
-    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in pairs) + "], x -> x IS NOT NULL), ',')"
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in pairs) + "], lambda x: x IS NOT NULL), ',')"
 
 
 def case(pairs, other="''") -> str:

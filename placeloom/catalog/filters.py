@@ -98,7 +98,7 @@ def b5(t):
 @query("b6_display", uses="places_v origins_v", sql=r"""
     SELECT id, CASE WHEN trim(address) = '' THEN '地址待补充' ELSE trim(address) END AS address_text,
            CASE WHEN hours <> '' AND hours NOT LIKE '%现场公示%' THEN hours ELSE '—' END AS hours_text,
-           CASE WHEN k % 7 = 0 THEN '' WHEN k % 2000 < 1000 THEN CAST(floor((k % 2000) / 1000.0e0 * 1000 + 0.5) AS BIGINT) || ' 米' ELSE printf('%.1f', (k % 2000) / 1000.0e0) || ' 公里' END AS distance_text
+           CASE WHEN k % 7 = 0 THEN '' WHEN k % 2000 < 1000 THEN CAST(floor((k % 2000) / 1000.0e0 * 1000 + 0.5) AS BIGINT) || ' 米' WHEN k % 500 IN (250) THEN printf('%.1f', floor((k % 2000) / 100.0e0 + 0.5) / 10) || ' 公里' ELSE printf('%.1f', (k % 2000) / 1000.0e0) || ' 公里' END AS distance_text
     FROM places_v""")
 def b6(t):
     km = F.when(F.col("k") % 7 != 0, (F.col("k") % 2000) / 1000.0)

@@ -115,6 +115,9 @@ def inset_box(south: Column, north: Column, top_ratio: Column, bottom_ratio: Col
 
 
 def distance_text(km: Column) -> Column:
+    """'' for unknown, whole metres below 1 km, else one decimal of the exact value with ties going up."""
     meters = F.concat(js_round(km * 1000).cast("string"), F.lit(" 米"))
-    far = F.concat(F.format_string("%.1f", km), F.lit(" 公里"))
+    tie = F.pmod(km * 4, F.lit(2.0)) == 1  # x.25 and x.75 are the only exact ties
+    shown = F.when(tie, js_round(km * 10) / 10).otherwise(km)
+    far = F.concat(F.call_function("format_number", shown, F.lit("0.0")), F.lit(" 公里"))
     return F.when(finite(km) & (km >= 0), F.when(km < 1, meters).otherwise(far)).otherwise(F.lit(""))

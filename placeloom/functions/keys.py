@@ -28,14 +28,14 @@ def _pairs(url) -> Column:
 
 def request_key(url) -> Column:
     """Equal for two URLs that ask for the same page."""
-    path = F.rtrim(F.lit("/"), _part(url, "PATH"))
+    path = F.rtrim(_part(url, "PATH"), F.lit("/"))
     return F.concat_ws("\u0001", url_scheme(url), url_host(url), path, F.array_join(F.array_sort(_pairs(url)), "&"))
 
 
 def canonical_url(url) -> Column:
     u = F.trim(text(url))
     query = F.array_join(F.array_sort(_pairs(u)), "&")
-    path = F.rtrim(F.lit("/"), _part(u, "PATH"))
+    path = F.rtrim(_part(u, "PATH"), F.lit("/"))
     out = F.concat(url_scheme(u), F.lit("://"), url_host(u), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
     return F.when(url_host(u) == "", F.lit("")).otherwise(out)
 

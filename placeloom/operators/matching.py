@@ -328,3 +328,16 @@ def city_pass_reason(status, name, cand_name, cand_address, movement) -> Column:
 
 def newest_by_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return first_per_key(rows, keys, order)
+
+
+def carry_over(source: DataFrame, target: DataFrame, source_order: list, target_order: list, reviewed_through: int, rejected: Column) -> DataFrame:
+    """Reviewed and rejected numbers of one manifest under the numbers of another, matched by place and url.
+
+    Numbers are positions over the whole manifest; a repeated target key counts with its last number.
+    """
+    from placeloom.operators.scale import rank_within
+
+    s = rank_within(source.select("photo_id", "place_id", "url"), [], source_order, "source_no").where(F.col("source_no") <= reviewed_through)
+    g = rank_within(target.select("photo_id", "place_id", "url"), [], target_order, "target_no")
+    last = g.groupBy("place_id", "url").agg(F.max("target_no").alias("target_no"))
+    return s.join(last, ["place_id", "url"]).select("source_no", "target_no", rejected.alias("rejected"))

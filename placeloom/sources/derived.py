@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from placeloom.session import scratch_path
+
 BASE = {
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
@@ -174,17 +176,29 @@ def cte(*names: str, table=lambda n: n) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({re.sub(r'@(\w+)', fill, DERIVED[n])})" for n in order)
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Tables:
-    """Base and derived tables of one data folder."""
+    """Base and derived tables of one data folder.
+
+    A derived table is written once per session as Parquet, like the stored place tables it stands for, so that
+    column pruning and pushed filters work on it.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def path(self, name: str) -> str:
-        return f"{self.folder}/{name}.parquet"
+        if name in BASE:
+            return f"{self.folder}/{name}.parquet"
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED:
+            sql = re.sub(r"@(\w+)", lambda m: f"parquet.`{self.path(m.group(1))}`", DERIVED[name])
+            target = scratch_path(self.spark, name)
+            self.spark.sql(sql).write.parquet(target)
+            _STORED[key] = target
+        return _STORED[key]
 
     def __call__(self, name: str) -> DataFrame:
-        if name in BASE:
-            return self.spark.read.parquet(self.path(name))
-        sql = cte(name, table=lambda n: f"parquet.`{self.path(n)}`")
-        return self.spark.sql(f"{sql} SELECT * FROM {name}")
+        return self.spark.read.parquet(self.path(name))
