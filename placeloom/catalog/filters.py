@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from placeloom import dims
 from placeloom.catalog import duck as D
-from placeloom.catalog.registry import query
+from placeloom.catalog.registry import FLAT_SQL, query
 from placeloom.functions import geo, keys as K, rules, text as T
 from placeloom.operators import gallery, matching, select, visits as V
 from placeloom.operators.scale import first_per_key
@@ -130,6 +130,9 @@ FLAT = f"""raw AS ({VISITS}), loc AS (SELECT *, coalesce(j->>'$.result.ad_info.p
       CASE WHEN source = 'location_button' THEN source ELSE 'page_open' END AS src FROM loc)"""
 
 
+FLAT_SQL.append(FLAT)
+
+
 def visit_rows(t):
     al = t("aliases_v").select(K.visitor_code(K.visitor_id("openid", F.lit("app"))).alias("visitor_code"), "name")
     return V.ingest(t("visits_v"), al, "app")
