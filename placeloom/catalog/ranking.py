@@ -1 +1,280 @@
-"""placeholder"""
+"""Sections E and F: windows, ranking, greedy selection, sorts and limits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from placeloom import dims
+from placeloom.catalog import duck as D
+from placeloom.catalog.aggregates import groups  # noqa: F401
+from placeloom.catalog.registry import query
+from placeloom.functions import geo, keys as K, rules, text as T
+from placeloom.operators import duplicates as DUP, evidence as EV, gallery as G, matching as M, ranking as R, visits as V
+from placeloom.operators.graph import keep_first
+from placeloom.operators.scale import rank_within, skew_join, top_k
+from placeloom.session import cut_lineage
+
+_URL = "regexp_replace(raw_url, 'utm_source=x&', '')"
+BEST = f"""b AS (SELECT place_id, {_URL} AS url, base_score AS score, position, channel FROM links_v
+      QUALIFY row_number() OVER (PARTITION BY place_id, {_URL} ORDER BY base_score DESC, position, lo) = 1)"""
+
+
+def links(t):
+    return t("links_v").select("place_id", K.source_url("raw_url").alias("url"), F.col("base_score").alias("score"), "position", "channel", "lo")
+
+
+@query("e1_top_sources", uses="links_v", sql=f"""
+    WITH {BEST}, d AS (SELECT *, regexp_replace(regexp_extract(url, '//([^/]*)', 1), '^www\\.', '') AS domain FROM b),
+    r AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY place_id, domain ORDER BY score DESC, url) <= 2)
+    SELECT place_id, url, score, domain, row_number() OVER (PARTITION BY place_id ORDER BY score DESC, url) AS rank FROM r QUALIFY rank <= 6""")
+def e1(t):
+    return R.pick_sources(links(t)).select("place_id", "url", "score", "domain", "rank")
+
+
+@query("e2_channel_diversity", uses="links_v", sql=f"""
+    WITH {BEST}, r AS (SELECT *, row_number() OVER (PARTITION BY place_id, channel ORDER BY score DESC, url) AS cr FROM b)
+    SELECT place_id, url, channel, score, row_number() OVER (PARTITION BY place_id ORDER BY cr > 1, score DESC, url) AS rank FROM r QUALIFY rank <= 4""")
+def e2(t):
+    # the channel belongs to the row kept per url; ties on score and position are told apart by the source row
+    return R.pick_diverse(links(t)).select("place_id", "url", "channel", "score", "rank")
+
+
+_ORD = "list_position(['baidu-images', 'sogou-images', 'bing-images', '360-images'], channel)"
+
+
+@query("e3_round_robin", uses="photos_v", sql=f"""
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY place_id, channel ORDER BY CASE WHEN idx = 0 THEN 20 ELSE idx END, photo_id) AS turn FROM photos_v)
+    SELECT place_id, photo_id, turn, row_number() OVER (PARTITION BY place_id ORDER BY turn, {_ORD}) AS position FROM r""")
+def e3(t):
+    rank = F.when(F.col("idx") == 0, 20).otherwise(F.col("idx"))
+    return R.interleave(t("photos_v"), dims.IMAGE_CHANNELS, [rank, F.col("photo_id")]).select("place_id", "photo_id", "turn", "position")
+
+
+@query("e4_renumber", uses="photos_v", sql="""
+    SELECT photo_id, place_id, row_number() OVER (PARTITION BY place_id ORDER BY sort_order, photo_id) - 1 AS new_order FROM photos_v WHERE o % 4 <> 1""")
+def e4(t):
+    return R.renumber(t("photos_v").where("o % 4 <> 1"), "place_id", ["sort_order", "photo_id"]).select("photo_id", "place_id", "new_order")
+
+
+_LINE = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '!\[[^\]]*\]\([^)]+\)', '', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), 'https?://\S+', '', 'g'), '[#_*|`]+', ' ', 'g'), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g'))"""
+
+
+@query("e5_line_context", sql=f"""
+    WITH r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS u, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents),
+    l AS (SELECT doc_id, n, {_LINE} AS line FROM r)
+    SELECT doc_id AS page_id, n AS line_no, md5(line) AS line, md5(context) AS context FROM (SELECT *, concat_ws(' ', nullif(lag(line) OVER w, ''), nullif(line, ''), nullif(lead(line) OVER w, '')) AS context
+      FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY n)) WHERE line <> ''""")
+def e5(t):
+    out = EV.with_context(t("documents").select(F.col("doc_id").alias("page_id"), "text"))
+    return out.select("page_id", "line_no", F.md5("line").alias("line"), F.md5("context").alias("context"))
+
+
+@query("e6_city_quota", uses="pois_v", sql="""
+    SELECT id, city, row_number() OVER (PARTITION BY city ORDER BY CASE WHEN regexp_matches(name, '国家|省级|森林公园|湿地公园|风景区|植物园') THEN 0 ELSE 1 END,
+       CASE WHEN regexp_matches(name, '公园$|风景区$|景区$|植物园$') THEN 0 ELSE 1 END, district, name, id) AS rank FROM pois_v
+    QUALIFY rank <= CASE city WHEN '苏州市' THEN 120 WHEN '南通市' THEN 70 WHEN '无锡市' THEN 90 WHEN '嘉兴市' THEN 70 ELSE 60 END""")
+def e6(t):
+    order = [F.when(F.col("name").rlike("国家|省级|森林公园|湿地公园|风景区|植物园"), 0).otherwise(1),
+             F.when(F.col("name").rlike("公园$|风景区$|景区$|植物园$"), 0).otherwise(1), "district", "name", "id"]
+    limit = F.element_at(F.create_map(*[F.lit(x) for kv in dims.CITY_QUOTAS.items() for x in kv]), F.col("city"))
+    top = top_k(t("pois_v"), ["city"], order, max(dims.CITY_QUOTAS.values()), "rank")
+    return top.where(F.col("rank") <= limit).select("id", "city", "rank")
+
+
+@query("e7_free_slots", uses="photos_v", sql="""
+    WITH old AS (SELECT * FROM photos_v WHERE o % 3 = 0), inc AS (SELECT place_id, url, min(o) AS seq FROM photos_v WHERE o % 3 <> 0 OR o % 6 = 0 GROUP BY 1, 2),
+    f AS (SELECT i.*, coalesce(h.n, 0) AS have FROM inc i LEFT JOIN (SELECT place_id, count(*) AS n FROM old GROUP BY 1) h USING (place_id)
+          WHERE NOT EXISTS (SELECT 1 FROM old x WHERE x.place_id = i.place_id AND x.url = i.url))
+    SELECT place_id, url, have - 1 + row_number() OVER (PARTITION BY place_id ORDER BY seq, url) AS sort_order FROM f
+    QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY seq, url) <= greatest(0, 5 - have)""")
+def e7(t):
+    p = t("photos_v")
+    inc = p.where("o % 3 <> 0 or o % 6 = 0").select("place_id", "url", F.col("o").alias("seq"))
+    return R.append_to_free_slots(p.where("o % 3 = 0"), inc, 5).select("place_id", "url", "sort_order")
+
+
+@query("e8_range_decisions", uses="photos_v", sql="""
+    SELECT photo_id, place_id, row_number() OVER (PARTITION BY place_id ORDER BY o) AS ordinal FROM photos_v WHERE NOT (o BETWEEN 17 AND 190 OR o = 222 OR o BETWEEN 1000 AND 1500 OR o = 3000)""")
+def e8(t):
+    spec = "17-190 222 1000-1500 3000"
+    gone = t.spark.range(1).select(F.explode(R.expand_ranges(spec)).cast("bigint").alias("o"))
+    kept = t("photos_v").join(gone, "o", "left_anti")
+    return rank_within(kept, ["place_id"], ["o"], "ordinal").select("photo_id", "place_id", "ordinal")
+
+
+@query("e9_even_sample", uses="places_v", sql="""
+    WITH pin AS (SELECT * FROM places_v WHERE k % 401 = 7), rest AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS p, count(*) OVER () AS m FROM places_v WHERE k % 401 <> 7),
+    s AS (SELECT 300 - count(*) AS slots FROM pin),
+    chosen AS (SELECT id FROM rest WHERE p IN (SELECT CAST(floor(i * (SELECT max(m) FROM rest) / (SELECT slots FROM s)) AS BIGINT) FROM range(0, 300) r(i) WHERE i < (SELECT slots FROM s)) UNION ALL SELECT id FROM pin)
+    SELECT id, row_number() OVER (ORDER BY id) AS pos FROM chosen""")
+def e9(t):
+    p = t("places_v")
+    return R.even_sample(p, 300, ["id"], p.where("k % 401 = 7").select("id")).select("id", "pos")
+
+
+@query("e10_sharding", uses="places_v", sql="""
+    SELECT id, shard FROM (SELECT id, k, (row_number() OVER (ORDER BY category, id) - 1) % 3 AS shard FROM places_v) WHERE k % 6 <> 0""")
+def e10(t):
+    """Shard by sorted position, then leave out what an earlier run has done."""
+    done = t("places_v").where("k % 6 = 0").select("id")
+    return R.shard(t("places_v"), 3, ["category", "id"]).join(done, "id", "left_anti").select("id", "shard")
+
+
+BODY = f"""
+    full_ AS (SELECT *, title || chr(10) || body AS ft FROM notes_v),
+    m AS (SELECT *, {D.rr(f"lower({D.clean('ft')})", (r"[（）()【】\[\]·•,，.。:：;；/\\_\-—&“”" + '"' + "'’]", ""))} AS cf, {D.rr(f"lower({D.clean('place_name')})", (r"[（）()【】\[\]·•,，.。:：;；/\\_\-—&“”" + '"' + "'’]", ""))} AS cp,
+        {D.name_notes('ft')} AS nf, {D.name_notes('place_name')} AS np, {D.clean('ft')} AS tf, {D.rr(D.clean('address'), ('^上海市?', ''))} AS ad, regexp_extract({D.clean('address')}, '{'|'.join(dims.SHANGHAI_DISTRICTS)}', 0) AS own,
+        regexp_extract_all(ft, '{'|'.join(dims.SHANGHAI_DISTRICTS)}', 0) AS seen FROM full_),
+    dr AS (SELECT *, """ + " || ".join(f"regexp_extract(ad, '([^区县,，。；;]{{1,30}}(?:公路|大道|路|街|道|弄|巷|村))([0-9]+)(?:弄([0-9]+))?号?', {i})" for i in (1, 2, 3)) + """ AS door FROM m),
+    fl AS (SELECT *, cp <> '' AND contains(cf, cp) AS by_name, door <> '' AND contains(tf, door) AS by_door, own <> '' AND list_contains(seen, own) AS by_d, len(seen) > 0 AND own <> '' AND NOT list_contains(seen, own) AS wrong FROM dr),
+    ms AS (SELECT *, CASE WHEN by_name THEN 120 ELSE 0 END + CASE WHEN length(np) >= 3 AND contains(nf, np) THEN 80 ELSE 0 END + CASE WHEN by_door THEN 120 ELSE 0 END + CASE WHEN by_d THEN 15 ELSE 0 END
+        - CASE WHEN wrong AND NOT by_name AND NOT by_door THEN 100 ELSE 0 END AS match_score FROM fl)"""
+
+
+@query("e11_newest_evidence", uses="notes_v", sql=f"""
+    WITH {BODY} SELECT place_id, note_id, match_score, row_number() OVER (PARTITION BY place_id ORDER BY published DESC, note_id) AS rank FROM ms
+    WHERE published >= 1640966400 AND trim(body) <> '' AND match_score >= 80 QUALIFY rank <= 2""")
+def e11(t):
+    n = t("notes_v").where(F.timestamp_seconds("published") >= F.to_timestamp(F.lit(dims.NOTE_CUTOFF)))
+    m = EV.body_match("place_name", "address", "title", "body")
+    good = n.withColumns(m).where("accepted")
+    return top_k(good, ["place_id"], [F.desc("published"), F.asc("note_id")], 2, "rank").select("place_id", "note_id", "match_score", "rank")
+
+
+def vision_features(t):
+    """Photo rows with label map, texts and the scored columns the gallery needs."""
+    names = ["bookshelf", "library", "outdoor", "food", "people", "document"]
+    entries = [x for n in names for x in (F.lit(n), F.col(n))] + [F.lit("desk"), F.col("desk_table"), F.lit("table"), F.col("desk_table")]
+    v = t("vision_v").withColumn("labels", F.create_map(*entries)).withColumn("texts", F.array(F.struct(
+        F.col("txt").alias("text"), F.col("tconf").alias("confidence"), F.col("tx").alias("x"), F.col("ty").alias("y"),
+        F.lit(0.2).alias("width"), F.lit(0.04).alias("height"))))
+    v = v.join(t("places_v").select(F.col("id").alias("place_id"), "category"), "place_id")
+    marks, edges = G.watermark_texts(F.col("texts")), G.edge_texts(F.col("texts"))
+    return v.withColumn("marks", F.size(marks)).withColumn("edge_count", F.size(edges)).withColumn(
+        "crop", G.crop_ratios(F.concat(marks, edges))).withColumn(
+        "score", G.content_score(F.col("category"), F.col("labels"), F.col("face_count"), F.col("human_count"), F.col("marks"), F.col("edge_count"))
+    ).withColumn("exterior", G.is_exterior(F.col("labels"))).withColumn("focus", G.focus(F.col("labels"))).withColumn(
+        "close_person", G.is_close_person(F.array(F.struct(F.col("face_area").alias("area"))), F.array(F.struct(F.col("human_area").alias("area")))))
+
+
+def gallery_input(t):
+    v = vision_features(t)
+    shared = G.cross_place_content(v).withColumn("shared", F.lit(True))
+    v = skew_join(v, shared, ["digest"], "left")
+    return v.select(
+        "place_id", "photo_id", F.round("score", 6).alias("score"), "sort_order", "close_person", F.coalesce("shared", F.lit(False)).alias("blocked"), "exterior", "dhash",
+        "phash", F.array((F.col("o") % 7).cast("double") / 10, (F.col("o") % 5).cast("double") / 10).alias("vector"), "focus",
+        ((F.col("face_count") > 0) | (F.col("human_count") > 0)).alias("has_people"))
+
+
+@query("e12_gallery")
+def e12(t):
+    return G.pick_gallery(gallery_input(t))
+
+
+@query("e13_close_hash_pairs", uses="photos_v", sql="""
+    WITH v AS (SELECT DISTINCT place_id, dhash FROM photos_v)
+    SELECT a.place_id, a.dhash AS ha, b.dhash AS hb FROM v a JOIN v b ON a.place_id = b.place_id AND a.dhash < b.dhash AND bit_count(xor(a.dhash, b.dhash)) <= 7""")
+def e13(t):
+    return G.close_hashes(t("photos_v"))
+
+
+@query("e13_thin_near_copies")
+def e13b(t):
+    p = t("photos_v").select(F.col("photo_id").alias("id"), "place_id", "dhash", "sort_order")
+    return G.thin_near_copies(p, F.col("sort_order").cast("long"))
+
+
+@query("e14_keep_first")
+def e14(t):
+    return curated_pois(t)
+
+
+def curated_pois(t):
+    """Eligible pois kept first-come in (city, district, name length, name) order."""
+    p = t("pois_v").where(rules.map_poi_reason("name", "address", "map_category") == "")
+    p = p.withColumn("nm", T.normalize_name("name", "nature_map"))
+    order = F.struct("city", "district", F.length("name").alias("n"), "name")
+    rows = cut_lineage(p.select("id", "city", "nm", "latitude", "longitude", order.alias("ord")))
+    edges = DUP.grid_conflicts(rows, ["city"], 55.0)
+    return keep_first(rows.select("id", "ord", F.concat_ws("|", "city", "nm").alias("clique")), edges)
+
+
+def _e15(mode, extra=""):
+    cap = "TRUE" if mode == "first" else "TRUE"
+    out = "FALSE" if mode == "replace" else "url NOT LIKE '/uploads/xhs-full/%'"
+    shift = {"append": "coalesce(n_out, 0)", "replace": "0", "first": "0"}[mode]
+    keep = "coalesce((SELECT count(*) FROM inc i WHERE i.place_id = f.place_id), 0) - 1 + row_number() OVER (PARTITION BY place_id ORDER BY sort_order, photo_id)" if mode == "first" else "CAST(sort_order AS BIGINT)"
+    return f"""
+    WITH inc AS (SELECT place_id, '/uploads/xhs-full/new-' || (o % 50) || '.webp' AS url, o AS seq FROM photos_v WHERE o % 9 = 2
+                 UNION ALL SELECT place_id, url, o FROM photos_v WHERE o % 9 = 4 AND url LIKE '/uploads/xhs-full/%'),
+    mine AS (SELECT * FROM photos_v WHERE place_id IN (SELECT place_id FROM inc)),
+    outs AS (SELECT * FROM mine WHERE {out}),
+    new AS (SELECT i.place_id, 'photo-' || substr(sha256(i.place_id || '|' || i.url), 1, 24) AS photo_id, i.url, {shift} + i.n - 1 AS want
+        FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY seq, url) AS n FROM inc) i LEFT JOIN (SELECT place_id, count(*) AS n_out FROM outs GROUP BY 1) c USING (place_id) WHERE {shift} + i.n <= 10),
+    want AS (SELECT place_id, photo_id, url, {keep} AS want FROM outs f UNION ALL SELECT * FROM new)
+    SELECT coalesce(w.place_id, m.place_id) AS place_id, coalesce(w.photo_id, m.photo_id) AS photo_id, coalesce(w.url, m.url) AS url, w.want,
+       CASE WHEN w.photo_id IS NULL THEN 'remove' WHEN m.photo_id IS NULL THEN 'add' WHEN w.want <> m.sort_order THEN 'reorder' ELSE 'keep' END AS action
+    FROM want w FULL JOIN mine m ON m.place_id = w.place_id AND m.photo_id = w.photo_id"""
+
+
+def _incoming(t):
+    p = t("photos_v")
+    return p.where("o % 9 = 2").select("place_id", F.concat(F.lit("/uploads/xhs-full/new-"), (F.col("o") % 50).cast("string"), F.lit(".webp")).alias("url"), F.col("o").alias("seq")).unionByName(
+        p.where("o % 9 = 4 and url like '/uploads/xhs-full/%'").select("place_id", "url", F.col("o").alias("seq")))
+
+
+for _mode in ("append", "replace", "first"):
+    def _run(t, mode=_mode):
+        return R.reconcile_namespace(t("photos_v"), _incoming(t), "/uploads/xhs-full/", 10, mode)
+
+    query(f"e15_namespace_{_mode}", uses="photos_v", sql=_e15(_mode))(_run)
+
+
+@query("e16_note_images", uses="photos_v", sql="""
+    WITH g AS (SELECT 'g' || (o % 997) AS note_id, url, min_by(idx2, idx2) AS idx, arg_min(width, idx2) AS width, arg_min(height, idx2) AS height, arg_min(entropy, idx2) AS entropy
+        FROM (SELECT *, o AS idx2 FROM photos_v) GROUP BY 1, 2),
+    h AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY idx, url) AS n FROM g QUALIFY n <= 12),
+    s AS (SELECT *, least(width, height) + entropy * 100 - CASE WHEN n = 1 THEN 180 ELSE 0 END AS sc FROM h WHERE least(width, height) >= 720 AND width / height >= 0.45 AND width / height <= 2.2 AND entropy >= 2.5)
+    SELECT note_id, url, round(sc, 3) AS score, row_number() OVER (PARTITION BY note_id ORDER BY sc DESC, url) AS rank FROM s QUALIFY rank <= 3""".replace("min_by(idx2, idx2)", "min(idx2)"))
+def e16(t):
+    p = t("photos_v").select(F.concat(F.lit("g"), (F.col("o") % 997).cast("string")).alias("note_id"), "url", F.col("o").alias("idx"), "width", "height", "entropy")
+    return G.best_note_images(p).select("note_id", "url", F.round("score", 3).alias("score"), "rank")
+
+
+@query("f1_recent_visits", uses="visits_v aliases_v", sql="""
+    WITH FLAT_MARK SELECT id, visitor_code FROM flat ORDER BY created_at DESC, id LIMIT 500""")
+def f1(t):
+    from placeloom.catalog.filters import visit_rows
+
+    return V.recent(visit_rows(t)).select("id", "visitor_code")
+
+
+@query("f2_evidence_top_n", sql=f"""
+    WITH r AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS u, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents),
+    l AS (SELECT *, {_LINE} AS line, regexp_replace(lower(substr({_LINE}, 1, 800)), '[^0-9a-z\\x{{4e00}}-\\x{{9fff}}]+', '', 'g') AS key FROM r),
+    f AS (SELECT * FROM l WHERE line <> '' AND key <> '' QUALIFY row_number() OVER (PARTITION BY source, key ORDER BY doc_id, n) = 1)
+    SELECT source, doc_id, n AS line_no, row_number() OVER (PARTITION BY source ORDER BY doc_id, n) AS rank FROM f QUALIFY rank <= 80""")
+def f2(t):
+    lines = EV.page_lines(t("documents").select(F.col("doc_id").alias("page_id"), "text"))
+    src = t("documents").select(F.col("doc_id").alias("page_id"), "source")
+    rows = lines.join(src, "page_id").select("source", F.col("page_id").alias("doc_id"), "line_no", "line")
+    return EV.cap_evidence(rows, ["source"], ["doc_id", "line_no"], 80, "line").select("source", "doc_id", "line_no", "rank")
+
+
+@query("f3_stable_order", uses="places_v", sql="""
+    SELECT id, name FROM (SELECT id, name, category, CASE WHEN k % 2 = 0 THEN 'new_candidate' ELSE 'possible_duplicate' END AS status FROM places_v) ORDER BY status, category, name, id LIMIT 200""")
+def f3(t):
+    status = F.when(F.col("k") % 2 == 0, "new_candidate").otherwise("possible_duplicate")
+    return t("places_v").orderBy(status, "category", "name", "id").limit(200).select("id", "name")
+
+
+@query("f4_pair_listing", uses="places_v", sql=f"""
+    SELECT a.id AS first_id, b.id AS second_id, {D.rnd(D.meters('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude'))} AS distance_m FROM places_v a JOIN places_v b ON a.category = b.category AND a.id < b.id
+    WHERE {D.meters('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} <= 45 AND a.latitude <> 0 ORDER BY 3, 1, 2 LIMIT 500""")
+def f4(t):
+    from placeloom.operators.grid import near_self_pairs
+
+    pairs = near_self_pairs(t("places_v").select("id", "category", "latitude", "longitude"), 45.0, ["category"], unknown="zero")
+    out = pairs.select(F.col("a_id").alias("first_id"), F.col("b_id").alias("second_id"), geo.js_round(F.col("distance")).alias("distance_m"))
+    return out.orderBy("distance_m", "first_id", "second_id").limit(500)

@@ -8,8 +8,13 @@ from placeloom import dims
 from placeloom.functions.text import col, text
 
 
+# scheme, authority, path, query of a URL; a plain pattern, because a parser that rejects odd URLs loses them
+_URL = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+_PARTS = {"PROTOCOL": 1, "AUTHORITY": 2, "PATH": 3, "QUERY": 4}
+
+
 def _part(url, name: str) -> Column:
-    return F.coalesce(F.try_parse_url(text(url), F.lit(name)), F.lit(""))
+    return F.regexp_extract(text(url), _URL, _PARTS[name])
 
 
 def url_scheme(url) -> Column:
