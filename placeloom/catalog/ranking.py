@@ -97,7 +97,7 @@ def e7(t):
     SELECT photo_id, place_id, row_number() OVER (PARTITION BY place_id ORDER BY o) AS ordinal FROM photos_v WHERE NOT (o BETWEEN 17 AND 190 OR o = 222 OR o BETWEEN 1000 AND 1500 OR o = 3000)""")
 def e8(t):
     spec = "17-190 222 1000-1500 3000"
-    gone = t.spark.range(1).select(F.explode(R.expand_ranges(spec)).cast("bigint").alias("o"))
+    gone = t.spark.range(1).select(F.explode(R.expand_ranges(spec)).alias("o"))
     kept = t("photos_v").join(gone, "o", "left_anti")
     return rank_within(kept, ["place_id"], ["o"], "ordinal").select("photo_id", "place_id", "ordinal")
 

@@ -8,13 +8,14 @@ from placeloom import dims
 from placeloom.functions.text import col, text
 
 
-# scheme, authority, path, query of a URL; a plain pattern, because a parser that rejects odd URLs loses them
-_URL = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
-_PARTS = {"PROTOCOL": 1, "AUTHORITY": 2, "PATH": 3, "QUERY": 4}
+# scheme, authority, path, query of a URL in one pass; a plain pattern, because a parser that rejects odd URLs loses them
+_URL = r"(?s)^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?.*$"
+_PARTS = {"PROTOCOL": 0, "AUTHORITY": 1, "PATH": 2, "QUERY": 3}
 
 
 def _part(url, name: str) -> Column:
-    return F.regexp_extract(text(url), _URL, _PARTS[name])
+    parts = F.split(F.regexp_replace(text(url), _URL, "$1\u0001$2\u0001$3\u0001$4"), "\u0001")
+    return F.get(parts, F.lit(_PARTS[name]))
 
 
 def url_scheme(url) -> Column:
@@ -59,11 +60,9 @@ def bare_domain(url) -> Column:
 
 
 def domain_in(url, domains=dims.EXCLUDED_DOMAINS) -> Column:
-    host = url_host(url)
-    out = F.lit(False)
-    for d in domains:
-        out = out | (host == d) | host.endswith("." + d)
-    return out
+    """Host equal to one of the domains or below it."""
+    names = "|".join(d.replace(".", r"\.") for d in domains)
+    return url_host(url).rlike(rf"(?:^|\.)(?:{names})$")
 
 
 def stable_id(prefix: str, *cols) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from placeloom import dims
@@ -240,3 +242,15 @@ def reverse_references(refs: DataFrame) -> DataFrame:
         F.when(proxied.isNotNull(), F.struct(proxied.alias("u"), F.lit("proxy-original").alias("k")))))
     rows = refs.where(F.col("url").rlike("^https?://")).withColumn("_r", F.explode(both))
     return rows.select(F.col("_r.u").alias("url"), F.col("_r.k").alias("kind"), "place_id", "page_id").distinct()
+
+
+def query_plan(places: DataFrame, templates: list[tuple[str, str, str]]) -> DataFrame:
+    """Place × channel rows with query text and request URL; the templates are an array in each row, so nothing is joined."""
+    name = T.squeeze(T.sub(T.text("name"), ("[（）()]", " "), ("[“”]", "")))
+    rows = []
+    for channel, base, pattern in templates:
+        parts = [F.lit(p) if not p.startswith("{") else {"{name}": name, "{category}": F.col("category")}[p]
+                 for p in re.split(r"(\{name\}|\{category\})", pattern) if p]
+        q = F.concat(*parts)
+        rows.append(F.struct(F.lit(channel).alias("channel"), q.alias("query"), F.concat(F.lit(base), F.url_encode(q)).alias("url")))
+    return places.select("id", F.explode(F.array(*rows)).alias("r")).select("id", "r.*")
