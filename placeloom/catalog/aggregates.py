@@ -11,6 +11,7 @@ from placeloom.catalog.registry import query
 from placeloom.functions import geo, rules, text as T
 from placeloom.operators import audit as A, duplicates as DUP, gallery as G, matching as M, sync
 from placeloom.operators.scale import skew_join
+from placeloom.session import cut_lineage
 
 ISSUES = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in D.issue_list()) + "], lambda x: x IS NOT NULL)"
 
@@ -80,7 +81,7 @@ GROUPS = f"""{EDGES},
 
 def groups(t):
     units, members = DUP.signatures(t("places_v"))
-    edges = DUP.duplicate_edges(units)
+    edges = cut_lineage(DUP.duplicate_edges(units))
     return DUP.duplicate_groups(units, members, edges)
 
 
@@ -97,7 +98,7 @@ RICH = f"""{GROUPS}, rich AS (SELECT p.*, g.group_id, CASE WHEN p.latitude <> 0
 
 def rich(t):
     rows = DUP.with_photo_count(t("places_v"), t("photos_v")).withColumn("completeness", DUP.completeness())
-    return rows.join(groups(t), "id")
+    return cut_lineage(rows.join(groups(t), "id"))
 
 
 @query("d8_canonical", uses="places_v photos_v", sql=f"WITH RECURSIVE_MARK {RICH} SELECT group_id, canonical_id, members FROM canon")

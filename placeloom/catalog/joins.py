@@ -282,16 +282,7 @@ def c11(t):
     archive = images.join(pages, "url").select(
         F.col("url").alias("requested_url"), (F.col("page_id") % 7 != 0).alias("success"), F.col("source_url").alias("seen_url"),
         (F.col("image_id") % 5 != 0).alias("name_found"))
-    return EV_provenance(images, archive)
-
-
-def EV_provenance(images, archive):
-    """Keep an image when its page was read and lists the same source with the name found."""
-    a = archive.where("success and name_found").select(
-        K.canonical_url("requested_url").alias("pk"), K.canonical_url("seen_url").alias("sk")).distinct()
-    i = images.withColumn("pk", K.canonical_url("source_page")).withColumn("sk", K.canonical_url("source_url"))
-    j = i.join(a.withColumn("ok", F.lit(True)), ["pk", "sk"], "left")
-    return j.select("image_id", F.when(F.col("ok"), "selected").otherwise("rejected").alias("verdict"))
+    return M.confirm_provenance(images, archive)
 
 
 @query("c12_decision_carry_over", uses="photos_v", sql="""
@@ -313,8 +304,7 @@ def c12(t):
 def c13(t):
     links = t("links_v")
     res = links.where("lp % 6 <> 2").select("raw_url", "lp").distinct().withColumn("resolved", F.col("raw_url"))
-    j = links.join(res, ["raw_url", "lp"], "left").withColumn("url", K.source_url("resolved"))
-    return j.where((F.col("url") != "") & ~K.domain_in("url")).select("place_id", "lo", "position", "lp", "url")
+    return M.resolve_redirects(links, res, ["raw_url", "lp"]).select("place_id", "lo", "position", "lp", "url")
 
 
 @query("c14_url_agreement", sql="""

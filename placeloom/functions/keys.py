@@ -65,6 +65,11 @@ def domain_in(url, domains=dims.EXCLUDED_DOMAINS) -> Column:
     return url_host(url).rlike(rf"(?:^|\.)(?:{names})$")
 
 
+def usable_source(url) -> Column:
+    """source_url, or NULL when there is none or its domain is excluded."""
+    return F.when((url_host(url) != "") & ~domain_in(url), F.nullif(source_url(url), F.lit("")))
+
+
 def stable_id(prefix: str, *cols) -> Column:
     joined = F.concat_ws("|", *[text(c) for c in cols])
     return F.concat(F.lit(prefix + "-"), F.substring(F.sha2(joined, 256), 1, 24))

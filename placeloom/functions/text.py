@@ -33,6 +33,11 @@ def strip(c) -> Column:
     return sub(text(c), (f"^{SPACE}+|{SPACE}+$", ""))
 
 
+def ngrams(c, n: int) -> Column:
+    """All n-letter pieces in order; one linear pass by look-ahead."""
+    return F.regexp_extract_all(col(c), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+
 def clean_text(c) -> Column:
     return sub(text(c), ("(?i)&nbsp;|&#160;", " "), (f"{SPACE}+", ""))
 

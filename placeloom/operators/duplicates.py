@@ -8,7 +8,7 @@ from placeloom import dims
 from placeloom.functions import geo, text as T
 from placeloom.operators.graph import components
 from placeloom.operators.grid import near_self_pairs
-from placeloom.operators.scale import rank_within, skew_join
+from placeloom.operators.scale import keep_value, rank_within, skew_join
 from placeloom.session import cut_lineage
 
 
@@ -110,11 +110,11 @@ def _evidence(pairs: DataFrame) -> DataFrame:
         .when(exact & (d <= reach), RULES[2]).when((s >= 0.9) & (d <= 120), RULES[3])
         .when((s >= 0.82) & (d <= 60), RULES[4]).when(inside & (d <= 80), RULES[5])
     )
-    return pairs.select(
+    return keep_value(pairs, "rule", rule).select(
         a("id").alias("a"), b("id").alias("b"), a("copies").alias("a_copies"), b("copies").alias("b_copies"), "category",
         F.floor(s * 1000 + 0.5).cast("long").alias("similarity_milli"), geo.js_round(d).alias("distance_m"),
-        same_addr.alias("same_address"), rule.alias("rule"),
-    ).where("rule is not null")
+        same_addr.alias("same_address"), "rule",
+    )
 
 
 def _equal_key_pairs(units: DataFrame, keys: list[str]) -> DataFrame:
@@ -132,9 +132,7 @@ def contained_addresses(units: DataFrame, n: int = 6) -> DataFrame:
     misses nothing; the rarest one keeps the meeting groups as small as the data allows.
     """
     addrs = units.select("category", "addr").where(F.length("addr") >= n).distinct()
-    grams = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length("addr") - n + 1), lambda i: F.substring(F.col("addr"), i, F.lit(n))))
-    index = cut_lineage(addrs.select("category", "addr", F.explode(grams).alias("gram")))
+    index = cut_lineage(addrs.select("category", "addr", F.explode(F.array_distinct(T.ngrams("addr", n))).alias("gram")))
     df = index.groupBy("category", "gram").agg(F.count(F.lit(1)).alias("df"))
     rare = skew_join(index, df, ["category", "gram"]).groupBy("category", "addr").agg(F.min(F.struct("df", "gram")).alias("m"))
     probe = rare.select("category", F.col("addr").alias("short"), F.col("m.gram").alias("gram"))

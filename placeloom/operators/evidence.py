@@ -24,14 +24,15 @@ def page_lines(pages: DataFrame, body: str = "text") -> DataFrame:
 def with_context(pages: DataFrame, body: str = "text") -> DataFrame:
     """(page_id, line_no, line, context): every non-empty line with the raw lines next to it.
 
-    The neighbours are read from the page's own line array, so no window over the lines is needed and the text
-    is split once per page.
+    The lines meet their neighbours as shifted arrays of the same page, so no window is needed.
     """
     raw = pages.select("page_id", F.transform(F.split(T.text(body), "\n"), T.clean_markdown).alias("ls"))
-    rows = raw.select("page_id", F.posexplode("ls").alias("i", "line"), "ls")
-    near = F.slice(F.col("ls"), F.greatest(F.col("i"), F.lit(1)), F.when(F.col("i") == 0, 2).otherwise(3))
-    ctx = F.concat_ws(" ", F.filter(near, lambda v: v != ""))
-    return rows.select("page_id", (F.col("i") + 1).alias("line_no"), "line", ctx.alias("context")).where("line <> ''")
+    blank, n = F.array(F.lit("")), F.size("ls") - 1
+    before = F.concat(blank, F.slice("ls", F.lit(1), n))
+    after = F.concat(F.slice("ls", F.lit(2), n), blank)
+    rows = raw.select("page_id", F.posexplode(F.arrays_zip(before.alias("a"), F.col("ls").alias("b"), after.alias("c"))).alias("i", "t"))
+    ctx = F.concat_ws(" ", *[F.nullif(F.col(f"t.{c}"), F.lit("")) for c in "abc"])
+    return rows.where("t.b <> ''").select("page_id", (F.col("i") + 1).alias("line_no"), F.col("t.b").alias("line"), ctx.alias("context"))
 
 
 def mentions(pages: DataFrame, aliases: DataFrame, gram: int = GRAM) -> DataFrame:
@@ -42,8 +43,7 @@ def mentions(pages: DataFrame, aliases: DataFrame, gram: int = GRAM) -> DataFram
     whole page text.
     """
     names = aliases.where(F.length("alias") >= gram).select("alias").distinct()
-    cut = lambda c: F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length(c) - gram + 1), lambda i: F.substring(F.col(c), i, F.lit(gram))))
+    cut = lambda c: F.array_distinct(T.ngrams(F.col(c), gram))
     alias_grams = cut_lineage(names.select("alias", F.explode(cut("alias")).alias("gram")))
     needed = alias_grams.select("gram").distinct()
     page_grams = pages.where(F.length("key") >= gram).select("page_id", F.explode(cut("key")).alias("gram"))

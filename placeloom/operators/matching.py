@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from placeloom import dims
-from placeloom.functions import geo, rules, text as T
+from placeloom.functions import geo, keys as K, rules, text as T
 from placeloom.operators.grid import near_pairs
-from placeloom.operators.scale import first_per_key, skew_join
+from placeloom.operators.scale import first_per_key, keep_value, skew_join
 from placeloom.operators.duplicates import grid_conflicts  # noqa: F401  (re-exported for callers)
 
 
@@ -228,9 +228,7 @@ def _related_names(c: DataFrame, p: DataFrame) -> DataFrame:
         return df.select(*keys, "nm").distinct()
 
     def grams(n):
-        size = F.length("nm") - n + 1
-        pieces = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(F.col("nm"), i, F.lit(n)))
-        return F.when(size >= 1, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(T.ngrams("nm", n))
 
     def contained(short, long):
         index = names(long).withColumn("gram", F.explode(F.array_union(grams(2), grams(1))))
@@ -341,3 +339,17 @@ def carry_over(source: DataFrame, target: DataFrame, source_order: list, target_
     g = rank_within(target.select("photo_id", "place_id", "url"), [], target_order, "target_no")
     last = g.groupBy("place_id", "url").agg(F.max("target_no").alias("target_no"))
     return s.join(last, ["place_id", "url"]).select("source_no", "target_no", rejected.alias("rejected"))
+
+
+def resolve_redirects(links: DataFrame, resolutions: DataFrame, keys: list[str]) -> DataFrame:
+    """Links with the clean url their redirect leads to; unresolved links and excluded domains are dropped."""
+    return keep_value(skew_join(links, resolutions, keys, "left"), "url", K.usable_source("resolved"))
+
+
+def confirm_provenance(images: DataFrame, archive: DataFrame) -> DataFrame:
+    """(image_id, verdict): selected when the image's page was read and lists the same source with the name found."""
+    a = archive.where("success and name_found").select(
+        K.canonical_url("requested_url").alias("pk"), K.canonical_url("seen_url").alias("sk"))
+    a = a.groupBy("pk", "sk").agg(F.lit(True).alias("ok"))
+    i = images.withColumn("pk", K.canonical_url("source_page")).withColumn("sk", K.canonical_url("source_url"))
+    return skew_join(i, a, ["pk", "sk"], "left").select("image_id", F.when(F.col("ok"), "selected").otherwise("rejected").alias("verdict"))

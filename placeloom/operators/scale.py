@@ -7,6 +7,22 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from placeloom.session import cut_lineage
 
 HOT_ROWS = 1_000_000  # rows of one key above which the key is spread over several tasks
+SMALL_BYTES = 64 << 20  # estimated input below which no key needs spreading
+
+
+def _small(df: DataFrame) -> bool:
+    """Planner's size estimate below one task's comfortable share; then no key of it can be a straggler."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+
+
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
+    """(keys, _salts) of the keys with more than `hot_rows` rows, None when there is none.
+
+    One map-side combined count; the result has at most rows / hot_rows entries.
+    """
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    hot = hot.select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
+    return None if hot.isEmpty() else cut_lineage(hot)
 
 
 def skew_join(
@@ -14,26 +30,34 @@ def skew_join(
 ) -> DataFrame:
     """Equi-join (inner, left, left_semi, left_anti) whose hot keys are salted.
 
-    `big` rows of a hot key are dealt out over salts, `other` rows of it are repeated per salt. The hot-key
-    table has at most rows/hot_rows entries, so Spark can broadcast it from its run-time size.
+    Without hot keys this is a plain join and AQE picks the strategy. `big` rows of a hot key are dealt out over
+    salts, `other` rows of it are repeated once per salt.
     """
-    hot_rows = hot_rows or HOT_ROWS
-    hot = (
-        big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-        .select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
-    )
+    limit = hot_rows or HOT_ROWS
+    hot = None if hot_rows is None and _small(big) else hot_keys(big, keys, limit)
+    if hot is None:
+        return big.join(other, keys, how)
+    hot = hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_salts")
 
     def with_salts(df):
         cond = [F.col(k) == F.col(f"_h_{k}") for k in keys]
-        return df.join(hot, cond, "left").drop(*[f"_h_{k}" for k in keys])
+        return df.join(hot, cond, "left").drop(*[f"_h_{k}" for k in keys])  # Spark broadcasts it by its real size
 
     salts = F.coalesce(F.col("_salts"), F.lit(1))
-    rows = [c for c, t in big.dtypes if not t.startswith("map")]
+    rows = [c for c, t in big.dtypes if "map<" not in t]
     left = with_salts(big).withColumn("_salt", F.pmod(F.xxhash64(*rows), salts).cast("int")).drop("_salts")
     right = with_salts(other).withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def keep_value(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column and drop the rows where it is NULL, evaluating it once.
+
+    A plain filter would be pushed below and repeat the whole expression, costly ones several times over.
+    """
+    return df.withColumn(name, F.explode(F.array_compact(F.array(value))))
+
+
 def _flip(orders: list[Column | str]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in orders]
 
@@ -47,11 +71,10 @@ def rank_within(
     range-partitioned by key and order, numbered per range, and shifted by the counts of the earlier ranges
     of the same key; no key is gathered in one task. `order` must be total for a fixed result.
     """
-    hot_rows = hot_rows or HOT_ROWS
+    calm, hot_rows = hot_rows is None, hot_rows or HOT_ROWS
     order = _flip(order)
     if keys:
-        hot = df.groupBy(*keys).count().where(F.col("count") > hot_rows)
-        if hot.isEmpty():
+        if (calm and _small(df)) or hot_keys(df, keys, hot_rows) is None:
             return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     parts = df.sparkSession.sparkContext.defaultParallelism
     shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -11,7 +11,7 @@ from placeloom.functions import geo, keys as K, text as T
 from placeloom.operators import audit as A, duplicates as DUP, evidence as EV, gallery as G, gate as GT, matching as M
 from placeloom.operators import ranking as R, sync
 from placeloom.operators.grid import nearest, points_in_boxes
-from placeloom.operators.scale import rank_within, skew_join, top_k
+from placeloom.operators.scale import keep_value, rank_within, skew_join, top_k
 from placeloom.operators.select import by_categories
 from placeloom.session import cut_lineage
 from placeloom.sources import files
@@ -92,10 +92,11 @@ def curate_gallery(photo_features: DataFrame, max_per_place: int = 5) -> DataFra
 
 def rank_sources(links: DataFrame, names: DataFrame, k: int = 6, floor: int = 25) -> DataFrame:
     """links(place_id, raw_url, title, position) → the k best sources per place, at most two per domain."""
-    rows = links.withColumn("url", K.source_url("raw_url"))
-    rows = skew_join(rows.where((F.col("url") != "") & ~K.domain_in("url")), names, ["place_id"])
-    rows = rows.withColumn("score", EV.source_score("name", K.url_host("url"), F.lit(""), "title") - F.col("position"))
-    return R.pick_sources(rows.where(F.col("score") >= floor).select("place_id", "url", "score", "position"), k)
+    rows = keep_value(links, "url", K.usable_source("raw_url"))
+    rows = skew_join(rows, names, ["place_id"]).withColumn("host", K.url_host("url"))
+    score = EV.source_score("name", F.col("host"), F.lit(""), "title") - F.col("position")
+    rows = keep_value(rows.withColumn("s", score), "score", F.when(F.col("s") >= floor, F.col("s")))
+    return R.pick_sources(rows.select("place_id", "url", "score", "position"), k)
 
 
 def publish(places: DataFrame, photos: DataFrame, mirror: DataFrame) -> tuple[DataFrame, DataFrame]:
