@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from placeloom import dims
 from placeloom.functions import text as T
-from placeloom.operators.scale import first_per_key, skew_join, top_k
+from placeloom.operators.scale import first_per_key, skew_join, spread, top_k
 from placeloom.session import cut_lineage
 
 GRAM = 4
@@ -17,7 +17,7 @@ GRAM = 4
 def page_lines(pages: DataFrame, body: str = "text") -> DataFrame:
     """(page_id, line_no, line): cleaned non-empty lines with their 1-based number."""
     pieces = F.posexplode(F.split(T.text(body), "\n"))
-    lines = pages.select("page_id", pieces.alias("i", "raw"))
+    lines = spread(pages).select("page_id", pieces.alias("i", "raw"))
     return lines.select("page_id", (F.col("i") + 1).alias("line_no"), T.clean_markdown("raw").alias("line")).where("line <> ''")
 
 
@@ -26,7 +26,7 @@ def with_context(pages: DataFrame, body: str = "text") -> DataFrame:
 
     The lines meet their neighbours as shifted arrays of the same page, so no window is needed.
     """
-    raw = pages.select("page_id", F.transform(F.split(T.text(body), "\n"), T.clean_markdown).alias("ls"))
+    raw = spread(pages).select("page_id", F.transform(F.split(T.text(body), "\n"), T.clean_markdown).alias("ls"))
     blank, n = F.array(F.lit("")), F.size("ls") - 1
     before = F.concat(blank, F.slice("ls", F.lit(1), n))
     after = F.concat(F.slice("ls", F.lit(2), n), blank)
@@ -46,7 +46,7 @@ def mentions(pages: DataFrame, aliases: DataFrame, gram: int = GRAM) -> DataFram
     cut = lambda c: F.array_distinct(T.ngrams(F.col(c), gram))
     alias_grams = cut_lineage(names.select("alias", F.explode(cut("alias")).alias("gram")))
     needed = alias_grams.select("gram").distinct()
-    page_grams = pages.where(F.length("key") >= gram).select("page_id", F.explode(cut("key")).alias("gram"))
+    page_grams = spread(pages).where(F.length("key") >= gram).select("page_id", F.explode(cut("key")).alias("gram"))
     # the second join repeats the work only for grams that an alias uses
     index = cut_lineage(page_grams.join(needed, "gram", "left_semi"))
     df = index.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
@@ -60,11 +60,11 @@ def mentions(pages: DataFrame, aliases: DataFrame, gram: int = GRAM) -> DataFram
 
 def evidence_kinds(context: Column, is_source: Column, terms: list[str] = dims.FACILITY_TERMS) -> Column:
     """Kinds of evidence a context holds: address, hours, facility."""
-    found = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.lower(context).contains(t))
+    found = F.lower(context).rlike("|".join(re.escape(t) for t in terms))
     return T.codes([
         ("address", context.rlike(dims.ADDRESS_CONTEXT) & context.rlike(dims.ADDRESS_VALUE) & (is_source | context.rlike(dims.ADDRESS_ASSERTION))),
         ("hours", context.rlike(dims.TIME_CONTEXT) & context.rlike(dims.TIME_VALUE) & (is_source | context.rlike(dims.HOURS_ASSERTION))),
-        ("facility", (F.size(found) > 0) & (is_source | context.rlike(dims.FACILITY_ASSERTION))),
+        ("facility", found & (is_source | context.rlike(dims.FACILITY_ASSERTION))),
     ])
 
 
@@ -84,7 +84,8 @@ def block_score(terms_found: Column, longest_alias: Column, text: Column) -> Col
 # ---- relevance scores -------------------------------------------------------------
 
 def count_terms(value: Column, terms: list[str]) -> Column:
-    return F.size(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.lower(value).contains(t)))
+    low = F.lower(value)
+    return sum((low.contains(t).cast("int") for t in terms), F.lit(0))
 
 
 def source_score(place_name, host: Column, text, title, terms: list[str] = dims.FIELD_TERMS) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from placeloom.functions import geo
-from placeloom.operators.scale import skew_join
+from placeloom.operators.scale import keep_value, skew_join
 from placeloom.session import cut_lineage
 
 
@@ -29,13 +29,12 @@ def _prefixed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
 
 def near_self_pairs(
     df: DataFrame, radius: float, on: list[str], id_col: str = "id", lat: str = "latitude", lon: str = "longitude",
-    unknown: str = "inf", keep=None,
+    unknown: str = "inf",
 ) -> DataFrame:
     """Unordered pairs within `radius` metres and equal `on`; columns a_*, b_* with a_id < b_id, and distance.
 
     Every row is sent to its own cell and to the four cells after it, so a pair meets exactly once. Within a
     cell of the radius' size at least a fixed share of the pairs is a result, so work follows the output.
-    `keep(distance)` may narrow the pairs further as soon as they meet.
     """
     good = geo.finite(lat, lon)
     if unknown == "zero":
@@ -47,15 +46,15 @@ def near_self_pairs(
     d = geo.haversine_m(f"x_{lat}", f"x_{lon}", f"y_{lat}", f"y_{lon}")
     met = skew_join(probe, base, [*on, "r", "c"]).where(
         (~F.col("home") | (F.col(f"x_{id_col}") < F.col(f"y_{id_col}"))) & (F.col(f"x_{id_col}") != F.col(f"y_{id_col}"))
-    ).withColumn("distance", d).where(F.col("distance") <= radius)
+        & _same_band(f"x_{lat}", f"y_{lat}", radius))
+    met = keep_value(met.withColumn("_d", d), "distance", F.when(F.col("_d") <= radius, F.col("_d"))).drop("_d")
     swap = F.col(f"x_{id_col}") > F.col(f"y_{id_col}")
     cols = [c for c in df.columns if c not in on]
-    out = met.select(
+    return met.select(
         *on, "distance",
         *[F.when(swap, F.col("y_" + c)).otherwise(F.col("x_" + c)).alias("a_" + c) for c in cols],
         *[F.when(swap, F.col("x_" + c)).otherwise(F.col("y_" + c)).alias("b_" + c) for c in cols],
     )
-    return out.where(keep(out)) if keep else out
 
 
 def near_pairs(
@@ -67,12 +66,17 @@ def near_pairs(
     probe = _prefixed(_cells_around(left.where(geo.finite(lat, lon)), lat, lon, radius, offsets), "l_", [*on, "r", "c", "home"])
     base = _prefixed(_own_cell(right.where(geo.finite(lat, lon)), lat, lon, radius), "r_", [*on, "r", "c"])
     d = geo.haversine_m(f"l_{lat}", f"l_{lon}", f"r_{lat}", f"r_{lon}")
-    met = skew_join(base, probe, [*on, "r", "c"]).withColumn("distance", d)
-    return met.where(F.col("distance") <= radius).drop("r", "c", "home")
+    met = skew_join(base, probe, [*on, "r", "c"]).where(_same_band(f"l_{lat}", f"r_{lat}", radius)).drop("r", "c", "home")
+    return keep_value(met.withColumn("_d", d), "distance", F.when(F.col("_d") <= radius, F.col("_d"))).drop("_d")
+
+
+def _same_band(a: str, b: str, radius: float) -> Column:
+    """Cheap first test: the latitudes alone are not farther apart than the radius."""
+    return F.abs(F.col(a) - F.col(b)) <= radius / geo.METERS_PER_DEGREE
 
 
 def nearest(
-    origins: DataFrame, places: DataFrame, place_id: str = "id", start: float = 2000.0, grow: float = 4.0
+    origins: DataFrame, places: DataFrame, place_id: str = "id", start: float = 1000.0, grow: float = 2.0
 ) -> DataFrame:
     """Origins with place_id and distance of the nearest place (ties: smaller id); NULL when there is none.
 

@@ -50,6 +50,12 @@ def skew_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out when the input comes in fewer pieces than there are cores; for costly per-row work only."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def keep_value(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column and drop the rows where it is NULL, evaluating it once.
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as TY
+from pyspark.sql import Column, DataFrame, functions as F
 
 from placeloom import dims
 from placeloom.functions import geo, keys as K
 from placeloom.functions.text import text
 
-GEOCODE_SCHEMA = TY.StructType.fromDDL(
+GEOCODE_SCHEMA = (
     "status INT, result STRUCT<"
     "ad_info: STRUCT<nation: STRING, province: STRING, city: STRING, district: STRING>,"
     "address_component: STRUCT<nation: STRING, province: STRING, city: STRING, district: STRING, street: STRING, street_number: STRING>,"

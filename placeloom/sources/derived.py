@@ -196,7 +196,8 @@ class Tables:
         if key not in _STORED:
             sql = re.sub(r"@(\w+)", lambda m: f"parquet.`{self.path(m.group(1))}`", DERIVED[name])
             target = scratch_path(self.spark, name)
-            self.spark.sql(sql).write.parquet(target)
+            # as many files as cores, so that later scans are not one task
+            self.spark.sql(sql).repartition(self.spark.sparkContext.defaultParallelism).write.parquet(target)
             _STORED[key] = target
         return _STORED[key]
 
