@@ -155,6 +155,9 @@ FACILITY_ASSERTION = (
     "有|无|没有|未设|不设|不提供|配有|配置|提供|支持|可以|可用|可使用|位于|入口|在.{0,12}(?:楼|层)|分布在"
 )
 PAGE_NOISE = "相关搜索|大家还在搜|意见反馈|登录查看|搜索工具|热搜榜|ICP备|隐私政策"
+SEARCH_NOISE = (
+    "百度为您找到|百度一下|去掉.*获得更多|搜索结果|推荐您搜索|看看元宝|问题分析中|百度图片|时间不限所有网页|买燃油车|电动汽车|延长壳牌"
+)
 EXCLUDED_DOMAINS = [
     "baidu.com", "sogou.com", "google.com", "bing.com", "miit.gov.cn", "fankui.sogou.com", "yuanbao.tencent.com",
 ]

@@ -140,6 +140,51 @@ def contained_addresses(units: DataFrame, n: int = 6) -> DataFrame:
     return met.where((F.length("long") > F.length("short")) & F.col("long").contains(F.col("short"))).select("category", "short", "long")
 
 
+def similar_name_keys(side: int, name: str = "nm", loss: float = 0.18, gram: int = 4) -> Column:
+    """Text keys that two names share when their edit similarity is at least 1 - loss, or one contains the other.
+
+    With at most t = floor(loss · L) edits, L the longer length, one of t + 1 equal segments of the longer name is
+    still whole in the shorter one, shifted by no more than t. A contained name of `gram` or more letters starts
+    with a piece that is one of the longer name's pieces. A name plays the longer part (L) and the shorter part
+    (S); the two sides of a pair write the parts the other way round, so that L meets S whichever is longer.
+    """
+    n = F.length(name)
+    none = F.array().cast("array<string>")
+
+    def edits(length):
+        return F.floor(length * F.lit(loss) + 1e-9).cast("int")
+
+    def seq(a, b):
+        return F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+
+    def label(length, i, piece):
+        return F.concat_ws(":", length.cast("string"), i.cast("string"), piece)
+
+    def piece(start, end):
+        return F.substring(F.col(name), start + 1, end - start)
+
+    def bound(i, length):
+        return F.floor(i * length / (edits(length) + 1)).cast("int")
+
+    whole = F.transform(seq(F.lit(0), edits(n)), lambda i: label(n, i, piece(bound(i, n), bound(i + 1, n))))
+
+    def shifted(length, i):
+        p, size = bound(i, length), bound(i + 1, length) - bound(i, length)
+        starts = seq(F.greatest(F.lit(0), p - edits(length)), F.least(n - size, p + edits(length)))
+        return F.transform(starts, lambda q: label(length, i, F.substring(F.col(name), q + 1, size)))
+
+    longest = F.floor(n / F.lit(1 - loss) + 1e-9).cast("int")
+    parts = F.flatten(F.flatten(F.transform(
+        seq(n, longest), lambda length: F.transform(seq(F.lit(0), edits(length)), lambda i: shifted(length, i)))))
+    long_keys = F.concat(whole, F.transform(T.ngrams(name, gram), lambda g: F.concat(F.lit("g:"), g)))
+    short_keys = F.concat(parts, F.when(n >= gram, F.array(F.concat(F.lit("g:"), F.substring(name, 1, gram)))).otherwise(none))
+    first, second = ("A", "B") if side == 0 else ("B", "A")
+    if gram == 1:  # an empty name is contained in every name
+        long_keys, short_keys = F.concat(long_keys, F.array(F.lit("g:"))), F.concat(short_keys, F.when(n == 0, F.array(F.lit("g:"))).otherwise(none))
+    return F.when((n > 0) | F.lit(gram == 1), F.concat(
+        F.transform(long_keys, lambda k: F.concat(F.lit(first), k)), F.transform(short_keys, lambda k: F.concat(F.lit(second), k)))).otherwise(none)
+
+
 def duplicate_edges(units: DataFrame) -> DataFrame:
     """Evidence between units. A row with a = b says that the copies of that unit are duplicates of each other.
 
@@ -161,7 +206,7 @@ def duplicate_edges(units: DataFrame) -> DataFrame:
         *[F.when(swap, F.col("x_" + c)).otherwise(F.col("y_" + c)).alias("b_" + c) for c in rest])
     named = near_self_pairs(units, 250.0, ["category", "nm"], unknown="zero")
     named = named.withColumn("a_nm", F.col("nm")).withColumn("b_nm", F.col("nm")).drop("nm", "distance")
-    close = near_self_pairs(units, 120.0, ["category"], unknown="zero").drop("distance")
+    close = near_self_pairs(units, 120.0, ["category"], unknown="zero", fine=similar_name_keys).drop("distance")
     copies = units.where("copies > 1").select(
         "category", *[F.col(c).alias(p + c) for p in ("a_", "b_") for c in rest])
     parts = [_evidence(p) for p in (same_address, same_door, contained, named, close, copies)]
@@ -262,7 +307,8 @@ def exact_duplicates(places: DataFrame) -> DataFrame:
 
 def grid_conflicts(rows: DataFrame, same: list[str], radius: float, key: str = "nm", contained: bool = True) -> DataFrame:
     """(earlier, later) edges of rows(id, ord, same.., key) nearer than the radius, with contained keys if asked."""
-    pairs = near_self_pairs(rows, radius, same)
+    fine = (lambda side: similar_name_keys(side, key, 0.0, 1)) if contained else None
+    pairs = near_self_pairs(rows, radius, same, fine=fine)
     if contained:
         pairs = pairs.where(T.contains_either(F.col("a_" + key), F.col("b_" + key)))
     flip = F.struct("b_ord", "b_id") < F.struct("a_ord", "a_id")

@@ -27,26 +27,54 @@ def _prefixed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
     return df.select(*[F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns])
 
 
+HALF = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]  # own cell and the four after it: every pair meets once
+DENSE_CELL = 2_000  # points of one cell above which pairs are met by a finer key
+
+
 def near_self_pairs(
     df: DataFrame, radius: float, on: list[str], id_col: str = "id", lat: str = "latitude", lon: str = "longitude",
-    unknown: str = "inf",
+    unknown: str = "inf", fine=None, dense: int | None = None,
 ) -> DataFrame:
     """Unordered pairs within `radius` metres and equal `on`; columns a_*, b_* with a_id < b_id, and distance.
 
     Every row is sent to its own cell and to the four cells after it, so a pair meets exactly once. Within a
-    cell of the radius' size at least a fixed share of the pairs is a result, so work follows the output.
+    cell of the radius' size at least a fixed share of the pairs is near, so work follows the number of near pairs.
+
+    A caller that wants only a part of the near pairs gives `fine(side)`, side 0 or 1: an array of text keys such
+    that every wanted pair shares a key between its two sides. Cells with more than `dense` points are then met
+    on cell and key, so a crowded spot does not cost all its pairs; a pair may come out more than once there.
     """
     good = geo.finite(lat, lon)
     if unknown == "zero":
         good = good & (F.col(lat) != 0) & (F.col(lon) != 0)
     pts = df.where(good)
-    offsets = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
-    probe = _prefixed(_cells_around(pts, lat, lon, radius, offsets), "x_", [*on, "r", "c", "home"])
+    probe = _prefixed(_cells_around(pts, lat, lon, radius, HALF), "x_", [*on, "r", "c", "home"])
     base = _prefixed(_own_cell(pts, lat, lon, radius), "y_", [*on, "r", "c"])
-    d = geo.haversine_m(f"x_{lat}", f"x_{lon}", f"y_{lat}", f"y_{lon}")
-    met = skew_join(probe, base, [*on, "r", "c"]).where(
+    cell = [*on, "r", "c"]
+    crowded = None
+    if fine is not None:
+        n = base.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (dense or DENSE_CELL)).select(*cell)
+        crowded = None if n.isEmpty() else cut_lineage(n)
+    if crowded is None:
+        met = skew_join(probe, base, cell)
+    else:
+        calm = skew_join(probe, base.join(crowded, cell, "left_anti"), cell)
+
+        def keyed(rows, prefix, side):
+            rows = rows.join(crowded, cell, "left_semi")
+            for c in df.columns:  # the keys are written against the plain column names
+                rows = rows if c in on else rows.withColumnRenamed(prefix + c, c)
+            rows = rows.withColumn("_key", F.explode(F.array_distinct(fine(side))))
+            for c in df.columns:
+                rows = rows if c in on else rows.withColumnRenamed(c, prefix + c)
+            return rows
+
+        busy = skew_join(keyed(probe, "x_", 0), keyed(base, "y_", 1), [*cell, "_key"]).drop("_key")
+        met = calm.unionByName(busy.select(*calm.columns))
+    met = met.where(
         (~F.col("home") | (F.col(f"x_{id_col}") < F.col(f"y_{id_col}"))) & (F.col(f"x_{id_col}") != F.col(f"y_{id_col}"))
         & _same_band(f"x_{lat}", f"y_{lat}", radius))
+    d = geo.haversine_m(f"x_{lat}", f"x_{lon}", f"y_{lat}", f"y_{lon}")
     met = keep_value(met.withColumn("_d", d), "distance", F.when(F.col("_d") <= radius, F.col("_d"))).drop("_d")
     swap = F.col(f"x_{id_col}") > F.col(f"y_{id_col}")
     cols = [c for c in df.columns if c not in on]

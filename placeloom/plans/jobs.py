@@ -74,6 +74,7 @@ def extract_evidence(pages: DataFrame, places: DataFrame, cap: int = 80, terms:
     used = good.join(hits.select("page_id").distinct(), "page_id", "left_semi")
     lines = EV.with_context(used).where(~F.col("line").rlike(dims.PAGE_NOISE))
     lines = lines.join(good.select("page_id", "is_source"), "page_id")
+    lines = lines.where(F.col("is_source") | ~F.col("context").rlike(dims.SEARCH_NOISE))
     kinds = EV.evidence_kinds(F.col("context"), F.col("is_source"), terms)
     lines = lines.withColumn("kind", F.explode(kinds)).withColumn("ck", T.alnum_key("context"))
     rows = skew_join(lines, hits, ["page_id"])

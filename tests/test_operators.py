@@ -281,9 +281,40 @@ def test_evidence_job(spark):
     df = spark.createDataFrame(pages, "page_id int, text string, is_source boolean, requested_url string, result_url string")
     names = spark.createDataFrame([("p1", "某街道图书馆")], "id string, alias string")
     got = {(r.page_id, r.line_no, r.kind) for r in extract_evidence(df, names).collect()}
-    assert got == {(1, 1, "address"), (1, 2, "address"), (1, 4, "facility"), (2, 1, "address"), (2, 1, "facility"), (2, 2, "address"), (2, 2, "facility")} - {
-        (1, 2, "address")} | ({(1, 2, "address")} if False else set()) or got >= {(1, 4, "facility"), (2, 1, "facility")}
-    assert not any(p in (3, 4) for p, _, _ in got) and (2, 4, "facility") not in got
+    # line 2 of page 1 has the same context text as line 1; lines 3 and 4 of page 2 do not name the place near by
+    assert got == {(1, 1, "address"), (1, 1, "facility"), (1, 4, "facility"), (2, 1, "address"), (2, 1, "facility"), (2, 2, "address"), (2, 2, "facility")}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_similar_names_in_a_crowded_spot(spark, hot, seed, monkeypatch):
+    """The finer key of crowded cells loses no pair that the name rules accept."""
+    monkeypatch.setattr(grid, "DENSE_CELL", 3)
+    r = random.Random(seed)
+    names = []
+    for _ in range(12):
+        base = "".join(r.choice("甲乙丙丁戊己") for _ in range(r.randrange(1, 19)))
+        for _ in range(6):
+            v = list(base)
+            for _ in range(r.randrange(0, 4)):
+                k = r.randrange(len(v) + 1)
+                v[k:k + r.randrange(2)] = [r.choice("甲乙丙丁")] * r.randrange(2)
+            names.append("".join(v))
+        names.append("甲" + base + "乙丙")
+    rows = [(f"n{i:03d}", "a", nm, 31.0 + i * 1e-7, 121.0) for i, nm in enumerate(names)]
+    df = spark.createDataFrame(rows, "id string, category string, nm string, latitude double, longitude double")
+    a, b = F.col("a_nm"), F.col("b_nm")
+    inside = (F.least(F.length(a), F.length(b)) >= 4) & T.contains_either(a, b)
+    wanted = (T.similarity(a, b) >= 0.82) | inside
+    plain = grid.near_self_pairs(df, 120.0, ["category"])
+    keyed = grid.near_self_pairs(df, 120.0, ["category"], fine=DUP.similar_name_keys, dense=3)
+    want = {(x.a_id, x.b_id) for x in plain.where(wanted).collect()}
+    assert {(x.a_id, x.b_id) for x in keyed.where(wanted).collect()} == want and len(want) > 20
+    assert keyed.select("a_id", "b_id").distinct().count() < plain.count()
+    nodes = df.unionByName(df.limit(1).withColumn("id", F.lit("empty")).withColumn("nm", F.lit(""))).withColumn("ord", F.length("nm"))
+    free = DUP.grid_conflicts(nodes, ["category"], 55.0)
+    got = {tuple(sorted((x.earlier, x.later))) for x in free.collect()}
+    both = grid.near_self_pairs(nodes, 55.0, ["category"]).where(T.contains_either(a, b) & (F.col("distance") < 55))
+    assert got == {(x.a_id, x.b_id) for x in both.collect()}
 
 
 def test_publish_twice_pushes_nothing(spark):
