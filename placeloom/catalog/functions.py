@@ -308,9 +308,14 @@ def h27b(t):
     return EV.html_headings(t("pages"))
 
 
-@query("h27_page_tables")
+@query("h27_page_tables", sql="""
+    SELECT p_partkey AS page_id, i AS row_no, p_type AS section, i || '|' || p_name || ' & ' || i AS cells FROM part, (SELECT unnest(range(1, 51)) AS i) r WHERE i <= 1 + p_size % 4""")
 def h27c(t):
-    return EV.html_table_rows(t("pages"))
+    """One page per part: a table whose first, one-cell row names the section of the rows below."""
+    row = lambda i: F.concat(F.lit("<tr><td>"), i.cast("string"), F.lit("</td>\n<td><b>"), F.col("p_name"), F.lit("</b> &amp; "), i.cast("string"), F.lit("</td></tr>"))
+    rows = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size") % 4 + 1), row), "")
+    html = F.concat(F.lit("<html><table class='x'><TR><th colspan=2>"), F.col("p_type"), F.lit("</th></TR>"), rows, F.lit("</table></html>"))
+    return EV.html_table_rows(t("part").select(F.col("p_partkey").alias("page_id"), html.alias("html")))
 
 
 @query("h27_page_text", sql="SELECT page_id, length(html) > 0 AS has_text FROM pages")

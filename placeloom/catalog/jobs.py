@@ -8,7 +8,7 @@ from placeloom import dims
 from placeloom.catalog import duck as D
 from placeloom.catalog.aggregates import DUP_KEY, ISSUES, RICH
 from placeloom.catalog.functions import _AISS, _repair, _terms
-from placeloom.catalog.joins import MIRROR, PRINTS, VERDICT, mirror_of, scored
+from placeloom.catalog.joins import MIRROR, PRINTS, SCORED, VERDICT, mirror_of, scored
 from placeloom.catalog.ranking import gallery_input
 from placeloom.catalog.registry import query
 from placeloom.catalog.tables import FIELDS
@@ -86,7 +86,14 @@ def k2(t):
     return J.resolve_duplicates(t("places_v"), t("photos_v")).removed
 
 
-@query("k3_verify_candidates", uses="cands_v places_v")
+@query("k3_verify_candidates", uses="cands_v places_v", sql=f"""
+    WITH {SCORED}, best AS (SELECT * FROM sc WHERE dm AND sm AND score >= 75 QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY score DESC, mv, cand_no) = 1),
+    m AS (SELECT p.id, p.name, p.category, p.address, coalesce(b.cand_latitude, p.latitude) AS latitude, coalesce(b.cand_longitude, p.longitude) AS longitude, p.latitude AS lat0, p.longitude AS lon0, b.place_id AS bp
+        FROM places_v p LEFT JOIN best b ON b.place_id = p.id),
+    g AS (SELECT *, array_to_string({ISSUES}, ',') AS issues FROM m)
+    SELECT id, CASE WHEN bp IS NULL THEN 'map' WHEN issues <> '' THEN 'audit' ELSE 'approved' END AS stage, CASE WHEN bp IS NULL THEN 'no_accepted_candidate' ELSE issues END AS reason,
+      CASE WHEN bp IS NULL OR issues <> '' THEN 'delete' WHEN latitude <> lat0 OR longitude <> lon0 THEN 'update' END AS action,
+      CASE WHEN bp IS NULL OR issues <> '' THEN '' WHEN latitude <> lat0 OR longitude <> lon0 THEN concat_ws(',', CASE WHEN latitude <> lat0 THEN 'latitude' END, CASE WHEN longitude <> lon0 THEN 'longitude' END) END AS changed FROM g""")
 def k3(t):
     gate, actions = J.verify_candidates(t("places_v"), t("cands_v"), t("places_v"), FIELDS)
     return gate.join(actions.select("id", "action", "changed"), "id", "left")

@@ -115,7 +115,8 @@ def nearest(
     spots = places.where(geo.finite("latitude", "longitude")).select(F.col(place_id).alias("pid"), "latitude", "longitude")
     key = F.concat_ws("|", "latitude", "longitude")
     left = origins.where(geo.finite("latitude", "longitude")).select("latitude", "longitude").distinct()
-    left = cut_lineage(left.withColumn("oid", key))
+    cores = max(left.sparkSession.sparkContext.defaultParallelism, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    left = cut_lineage(left.withColumn("oid", key).repartition(cores))  # few bytes a point, but many comparisons
     found, radius = None, start
     while not left.isEmpty():
         hit = _ring(left, spots, radius) if radius <= 200_000 else _far_ring(left, spots, radius)
