@@ -38,23 +38,25 @@ def with_context(pages: DataFrame, body: str = "text") -> DataFrame:
 def mentions(pages: DataFrame, aliases: DataFrame, gram: int = GRAM) -> DataFrame:
     """(page_id, place_id): pages(page_id, key) that contain an alias(place_id, alias) of at least `gram` letters.
 
-    An alias occurs only where each of its n-grams occurs. Pages are reduced to the grams that some alias needs;
-    every alias is then met on the one that is rarest among the pages, and only those meetings are tested on the
-    whole page text.
+    An alias occurs only where each of its n-grams occurs, so any one of them may serve as its meeting key. The one
+    that is rarest in a sample of the pages is taken (the sample only picks the key, it leaves out no page), pages
+    are reduced to these grams in one pass, and every meeting is tested on the whole page text.
     """
     names = aliases.where(F.length("alias") >= gram).select("alias").distinct()
-    cut = lambda c: F.array_distinct(T.ngrams(F.col(c), gram))
-    alias_grams = cut_lineage(names.select("alias", F.explode(cut("alias")).alias("gram")))
-    needed = alias_grams.select("gram").distinct()
-    page_grams = spread(pages).where(F.length("key") >= gram).select("page_id", F.explode(cut("key")).alias("gram"))
-    # the second join repeats the work only for grams that an alias uses
-    index = cut_lineage(page_grams.join(needed, "gram", "left_semi"))
-    df = index.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    alias_grams = cut_lineage(names.select("alias", F.explode(F.array_distinct(T.ngrams("alias", gram))).alias("gram")))
+    long = pages.where(F.length("key") >= gram)
+    # the lowest twentieth of the hash range: unlike sample(), this filter sinks below the text normalisation
+    seen = long.where(F.xxhash64("page_id") < F.lit(int(-0.9 * 2**63))).select(F.explode(F.array_distinct(T.ngrams("key", gram))).alias("gram"))
+    df = seen.join(alias_grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rare = alias_grams.join(df, "gram", "left").groupBy("alias").agg(
         F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("gram"))).alias("m"))
-    probe = rare.where("m.df > 0").select("alias", F.col("m.gram").alias("gram"))
-    met = skew_join(index, probe, ["gram"]).select("page_id", "alias")
-    hit = met.join(pages.select("page_id", "key"), "page_id").where(F.col("key").contains(F.col("alias"))).select("page_id", "alias")
+    probe = cut_lineage(rare.select("alias", F.col("m.gram").alias("gram")))
+    index = spread(long).select("page_id", F.explode(T.ngrams("key", gram)).alias("gram"))
+    index = cut_lineage(index.join(probe.select("gram").distinct(), "gram", "left_semi").distinct())
+    met = cut_lineage(skew_join(index, probe, ["gram"]).select("page_id", "alias"))
+    # the whole text is needed, and normalised again, only for pages that met an alias
+    asked = pages.select("page_id", "key").join(met.select("page_id").distinct(), "page_id", "left_semi")
+    hit = skew_join(met, asked, ["page_id"]).where(F.col("key").contains(F.col("alias"))).select("page_id", "alias")
     return skew_join(hit, aliases.select("place_id", "alias").distinct(), ["alias"]).select("page_id", "place_id").distinct()
 
 
