@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placeloom.llm import simhash, tokens
+from placeloom.llm import quality, simhash, tokens
 from placeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.groups(docs).select(F.col("id").alias("doc_id"), simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def fold(id: str = "doc_id"):
+    """Remainder that deals documents into folds; fold 1 is held out."""
+    return F.crc32(F.col(id).cast("string")) % 3
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
+    return quality.fit(docs, table(spark, sf_dir, "labels"), use=fold() != 1)
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.scored(docs, quality_model(spark, docs, sf_dir))
+    return out.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "score", "predicted")
