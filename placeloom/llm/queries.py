@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placeloom.llm import quality, simhash, tokens
+from placeloom.llm import decontaminate, quality, simhash, tokens
 from placeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,14 @@ def query(fn):
     return fn
 
 
+def checked(sql: str):
+    def wrap(fn):
+        CHECKS[fn.__name__] = sql
+        return query(fn)
+
+    return wrap
+
+
 @query
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -44,3 +52,30 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality.scored(docs, quality_model(spark, docs, sf_dir))
     return out.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+# distinct word shingles of a text: five words, or all of a shorter text
+SHINGLES_SQL = """
+shingles(side, id, n_words, shingle) AS (
+  SELECT DISTINCT side, id, len(w), array_to_string(w[i:i + least(len(w), 5) - 1], ' ')
+  FROM (SELECT side, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i
+        FROM (SELECT side, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+              FROM texts)
+        WHERE len(w) > 0))
+"""
+
+
+@checked(
+    f"""
+WITH texts(side, id, text) AS (
+  SELECT 'd', doc_id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+{SHINGLES_SQL},
+sized AS (SELECT id, count(*) AS n FROM shingles WHERE side = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared, max(n) AS n, count(*) / max(n) AS containment
+FROM shingles i JOIN shingles d ON d.side = 'd' AND d.shingle = i.shingle JOIN sized s ON s.id = i.id
+WHERE i.side = 'i'
+GROUP BY d.id, i.id HAVING count(*) >= ceil(0.8 * max(n) - 1e-9)
+"""
+)
+def op6_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
