@@ -22,3 +22,14 @@ def private(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def text_batches(df: DataFrame, rows: int = 500) -> DataFrame:
+    """df, whose session hands at most `rows` rows at a time to Python, so that a worker holds few texts at once.
+
+    The default of 10 000 rows is made for numbers. A smaller setting of the user stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df

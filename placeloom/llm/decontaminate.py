@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from placeloom.llm.common import cut_lineage, text_of
+from placeloom.llm.common import cut_lineage, text_batches, text_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -136,7 +136,7 @@ def shingles_in(docs: DataFrame, table: np.ndarray | None, lengths: list[int], w
                 [batch.column("id").take(pa.array([d for d, _ in found], pa.int64())), pa.array([s for _, s in found], pa.binary()).cast(pa.string())],
                 names=["id", "shingle"])
 
-    return docs.mapInArrow(run, schema)
+    return text_batches(docs).mapInArrow(run, schema)
 
 
 def bit_table(shingles: DataFrame, bits: int = BITS) -> np.ndarray:

@@ -21,7 +21,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from placeloom.llm.common import private, text_of
+from placeloom.llm.common import private, text_batches, text_of
 
 PER_CLASS = 2000
 SAMPLE_CHARS = 20_000
@@ -142,7 +142,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pd.Series(1 / (1 + np.exp(-np.clip(model.slope * x + model.intercept, -500, 500))))
 
     tmp = private(docs, "score_")
-    out = docs.withColumn(tmp, score(text_of(text))).withColumn("score", F.col(tmp)).drop(tmp)
+    out = text_batches(docs).withColumn(tmp, score(text_of(text))).withColumn("score", F.col(tmp)).drop(tmp)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placeloom.llm import decontaminate, quality, simhash, tokens
+from placeloom.llm import decontaminate, mixing, quality, simhash, tokens
 from placeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,7 +59,7 @@ SHINGLES_SQL = """
 shingles(side, id, n_words, shingle) AS (
   SELECT DISTINCT side, id, len(w), array_to_string(w[i:i + least(len(w), 5) - 1], ' ')
   FROM (SELECT side, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i
-        FROM (SELECT side, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+        FROM (SELECT side, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
               FROM texts)
         WHERE len(w) > 0))
 """
@@ -79,3 +79,71 @@ GROUP BY d.id, i.id HAVING count(*) >= ceil(0.8 * max(n) - 1e-9)
 )
 def op6_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# Mixture of op2 and of the pipeline: target weights of the domains, of the languages in each, and of the sources in each.
+DOMAIN_WEIGHTS = {"web": 5, "books": 3, "forum": 2}
+LANG_WEIGHTS = {"en": 6, "de": 2, "fr": 2, "es": 1}
+
+
+def mixing_levels():
+    """Domain (from the source's number), language, source."""
+    number = F.coalesce(F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT)"), F.lit(0))
+    domain = F.when(number % 3 == 0, "web").when(number % 3 == 1, "books").otherwise("forum")
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def mixing_weights(spark: SparkSession) -> DataFrame:
+    """Sources weigh the same inside their language, so they have no rows."""
+    rows = [(d, None, None, w) for d, w in DOMAIN_WEIGHTS.items()]
+    rows += [(d, g, None, w) for d in DOMAIN_WEIGHTS for g, w in LANG_WEIGHTS.items()]
+    return spark.createDataFrame(rows, "domain string, lang string, source string, weight long")
+
+
+def _values(d: dict) -> str:
+    return ", ".join(f"('{k}', {v})" for k, v in d.items())
+
+
+def _level_sql(name: str, parent: str, keys: str, parent_keys: str, weight: str, key: str) -> str:
+    """One level of the water fill: `name` gets (keys, capacity, budget) from `parent`'s budgets."""
+    over = f"PARTITION BY {parent_keys}" if parent_keys else ""
+    by = f"({over} ORDER BY capacity / weight, {key}"
+    join = f"JOIN {parent} USING ({parent_keys})" if parent_keys else f"CROSS JOIN {parent}"
+    return f"""
+{name}_nodes AS (SELECT x.*, b.budget AS up FROM (SELECT {keys}, sum(capacity)::HUGEINT AS capacity, ({weight})::HUGEINT AS weight FROM leaves GROUP BY {keys}) x
+  {join.replace(parent, parent + ' b')}),
+{name}_sums AS (SELECT *, coalesce(sum(capacity) OVER {by} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS before,
+  sum(weight) OVER {by} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::HUGEINT AS later FROM {name}_nodes),
+{name}_full AS (SELECT *, capacity * later <= (up - before) * weight AS is_full FROM {name}_sums),
+{name}_open AS (SELECT *, up - (sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER ({over}))::HUGEINT AS rest,
+  (sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({over}))::HUGEINT AS open_ FROM {name}_full),
+{name} AS (SELECT {keys}, CASE WHEN is_full THEN capacity ELSE least(capacity, rest * weight // nullif(open_, 0)) END AS budget FROM {name}_open)"""
+
+
+def mixing_sql(docs: str, fraction: float, epochs: int, seed: int) -> str:
+    """CTEs up to `mixed`(d.*, domain, epoch, n_tokens) for the table or CTE `docs`."""
+    return f"""
+d AS (SELECT *, CASE coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT), 0) % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'books' ELSE 'forum' END AS domain,
+  coalesce(lang, '') AS lang_, coalesce(source, '') AS source_, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM {docs}),
+leaves AS (SELECT domain, lang_, source_, sum(n_tokens)::HUGEINT AS tokens, sum(n_tokens)::HUGEINT * {epochs} AS capacity FROM d GROUP BY ALL),
+domain_weight(domain, w) AS (VALUES {_values(DOMAIN_WEIGHTS)}), lang_weight(lang_, w) AS (VALUES {_values(LANG_WEIGHTS)}),
+root AS (SELECT floor(sum(tokens) * {fraction})::HUGEINT AS budget FROM leaves),
+{_level_sql('l1', 'root', 'domain', '', 'coalesce((SELECT w FROM domain_weight q WHERE q.domain = leaves.domain), 1)', 'domain')},
+{_level_sql('l2', 'l1', 'domain, lang_', 'domain', 'coalesce((SELECT w FROM lang_weight q WHERE q.lang_ = leaves.lang_), 1)', 'lang_')},
+{_level_sql('l3', 'l2', 'domain, lang_, source_', 'domain, lang_', '1', 'source_')},
+bought AS (SELECT domain, lang_, source_, budget // tokens AS whole, budget % tokens AS part FROM l3 JOIN leaves USING (domain, lang_, source_) WHERE budget > 0),
+placed AS (SELECT d.*, whole, part, md5(concat('{seed}:', whole::VARCHAR, ':', coalesce(doc_id::VARCHAR, ''))) AS h FROM d JOIN bought USING (domain, lang_, source_)),
+started AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang_, source_ ORDER BY h) - sum(n_tokens) OVER (PARTITION BY domain, lang_, source_, h) AS start_ FROM placed),
+mixed AS (SELECT *, unnest(range(0, (whole + CASE WHEN start_ < part THEN 1 ELSE 0 END)::BIGINT)) AS epoch FROM started)
+"""
+
+
+OP2 = {"fraction": 0.5, "epochs": 2, "seed": 1}
+
+
+@checked(f"WITH {mixing_sql('documents', **OP2)} SELECT doc_id, domain, lang, source, epoch, n_tokens FROM mixed")
+def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    tokens = docs.select("doc_id", "lang", "source", mixing.word_tokens().alias("n"))
+    out = mixing.mix(tokens, mixing_weights(spark), mixing_levels(), tokens=F.col("n"), **OP2)
+    return out.select("row.doc_id", "domain", "row.lang", "row.source", "epoch", "n_tokens")

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from placeloom.llm.common import private, text_of
+from placeloom.llm.common import private, text_batches, text_of
 
 HUGE = 32_768  # characters above which a text is encoded in chunks
 CHUNK = 16_384
@@ -148,5 +148,5 @@ def token_counts(
             yield pd.Series(counts(s.tolist(), tokenizer, huge, chunk, overlap), dtype="int64")
 
     tmp = private(docs, "n_tokens_")
-    out = docs.withColumn(tmp, n_tokens(text_of(text))).withColumn("n_bytes", F.octet_length(text_of(text)).cast("long"))
+    out = text_batches(docs).withColumn(tmp, n_tokens(text_of(text))).withColumn("n_bytes", F.octet_length(text_of(text)).cast("long"))
     return out.withColumn("n_tokens", F.col(tmp)).drop(tmp).withColumn("over_limit", F.col("n_tokens") > limit)
