@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placeloom.llm import decontaminate, mixing, quality, simhash, tokens
+from placeloom.llm import decontaminate, mixing, quality, sharding, simhash, tokens, warc
 from placeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,42 @@ def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = docs.select("doc_id", "lang", "source", mixing.word_tokens().alias("n"))
     out = mixing.mix(tokens, mixing_weights(spark), mixing_levels(), tokens=F.col("n"), **OP2)
     return out.select("row.doc_id", "domain", "row.lang", "row.source", "epoch", "n_tokens")
+
+
+@checked(
+    """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+FROM f
+"""
+)
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digest(spark, warc.archive_pages(table(spark, sf_dir, "pages")))
+
+
+SHARD_BYTES = 1 << 20
+
+
+def sharding_sql(docs: str, limit: int = SHARD_BYTES) -> str:
+    """CTEs up to `sharded`(d.*, bytes, depth, prefix, shard, shard_bytes, over_limit) for the table or CTE `docs`."""
+    return f"""
+placed AS (SELECT *, coalesce(octet_length(encode(text)), 0) AS bytes,
+  ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 15))::BIGINT AS a FROM {docs}),
+sizes AS (SELECT a, sum(bytes) AS n FROM placed GROUP BY a),
+nodes AS (SELECT depth, a >> (60 - depth) AS prefix, sum(n) AS shard_bytes, min(a) = max(a) AS single
+  FROM sizes, range(0, 61) t(depth) GROUP BY ALL),
+chosen AS (SELECT a, min(depth) AS depth FROM sizes, range(0, 61) t(depth)
+  JOIN nodes USING (depth) WHERE nodes.prefix = a >> (60 - depth) AND (shard_bytes <= {limit} OR single) GROUP BY a),
+sharded AS (SELECT p.*, depth, prefix, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth::INT, '0') END AS shard, shard_bytes::BIGINT AS shard_bytes,
+  shard_bytes > {limit} AS over_limit
+  FROM placed p JOIN chosen USING (a) JOIN nodes USING (depth) WHERE prefix = a >> (60 - depth))
+"""
+
+
+@checked(f"WITH {sharding_sql('documents')} SELECT doc_id, bytes, shard, shard_bytes, over_limit FROM sharded")
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard_of(docs, SHARD_BYTES).select("row.doc_id", "bytes", "shard", "shard_bytes", "over_limit")
