@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from placeloom.llm.common import cut_lineage, scratch_path
@@ -106,7 +106,7 @@ class WarcReader(DataSourceReader):
         unknown = set(self.names) - {c.split()[0] for c in SCHEMA.split(", ")}
         if unknown:
             raise ValueError(f"no such columns in a WARC archive: {sorted(unknown)}")
-        self.tests: list[tuple[str, frozenset]] = []
+        self.tests: list[tuple[str, frozenset | None]] = []  # None: any value but NULL
 
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
@@ -114,6 +114,8 @@ class WarcReader(DataSourceReader):
                 self.tests.append((f.attribute[0], frozenset([f.value])))
             elif isinstance(f, In) and len(f.attribute) == 1 and f.attribute[0] in FILTERED and None not in f.value:
                 self.tests.append((f.attribute[0], frozenset(f.value)))
+            elif isinstance(f, IsNotNull) and len(f.attribute) == 1 and f.attribute[0] in FILTERED:
+                self.tests.append((f.attribute[0], None))
             else:
                 yield f
 
@@ -132,7 +134,7 @@ class WarcReader(DataSourceReader):
 
     def read(self, partition: _Files):
         fs, _ = pafs.FileSystem.from_uri(self.options["path"])
-        wanted = lambda h: all(_field(c, h.get(HEADER[c])) in v for c, v in self.tests)
+        wanted = lambda h: all(HEADER[c] in h if v is None else _field(c, h.get(HEADER[c])) in v for c, v in self.tests)
         kinds = {"content_length": pa.int64(), "headers": pa.map_(pa.string(), pa.string()), "payload": pa.binary()}
         types = [kinds.get(c, pa.string()) for c in self.names]
         rows, size = [], 0
@@ -185,7 +187,7 @@ class WarcWriter(DataSourceArrowWriter):
         path = f"{root}/.{uuid.uuid4().hex}.warc" + ".gz" * self.gz
         names = ("record_type", "record_id", "target_uri", "date", "refers_to", "payload_digest", "payload")
         count = 0
-        with fs.open_output_stream(path, buffer_size=1 << 20) as f:
+        with fs.open_output_stream(path, compression=None, buffer_size=1 << 20) as f:
             for b in batches:
                 for row in zip(*(b.column(n).to_pylist() for n in names)):
                     raw = record(*row)
