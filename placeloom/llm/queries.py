@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placeloom.llm import decontaminate, mixing, quality, sharding, simhash, tokens, warc
+from placeloom.llm import decontaminate, mainhtml, mixing, quality, sharding, simhash, tokens, warc
 from placeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,8 @@ sharded AS (SELECT p.*, depth, prefix, CASE WHEN depth = 0 THEN '' ELSE lpad(bin
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard_of(docs, SHARD_BYTES).select("row.doc_id", "bytes", "shard", "shard_bytes", "over_limit")
+
+
+@query
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.main_text(table(spark, sf_dir, "pages"))
