@@ -21,7 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from placeloom.llm.common import cut_lineage, text_of
+from placeloom.llm.common import cut_lineage, text_batches, text_of
 from placeloom.operators.graph import components
 
 DIFF = 3
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
         for s in batches:
             yield pd.Series(np.array([fingerprint(t, words, seed) for t in s], dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col(id).alias("id"), fp(text_of(text)).alias("fp"))
+    return text_batches(docs).select(F.col(id).alias("id"), fp(text_of(text)).alias("fp"))
 
 
 def _keys(fp: Column) -> list[Column]:
