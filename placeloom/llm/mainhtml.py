@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from placeloom.llm.common import cut_lineage, text_batches
 
 MIN_PAGES = 3  # a template is deduced from at least so many pages
+MAX_DEPTH = 32  # containers that a token's path names
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
@@ -63,12 +64,16 @@ def _signature(tag: str, attributes: str) -> str:
 
 
 class _Box:
-    __slots__ = ("tag", "path", "main", "junk")
+    __slots__ = ("tag", "path", "depth", "main", "junk")
 
     def __init__(self, up: "_Box | None", tag: str, signature: str):
         words = signature.split(".")[1:]
         self.tag = tag
-        self.path = f"{up.path}>{signature}" if up else signature
+        self.depth = up.depth + 1 if up else 1
+        if up is None:
+            self.path = signature
+        else:  # what is nested deeper shares its ancestor's name
+            self.path = f"{up.path}>{signature}" if self.depth <= MAX_DEPTH else up.path
         self.main = up is not None and up.main or tag in MAIN_TAGS or any(w in MAIN_WORDS for w in words)
         header = (tag == "header" or any(w in HEADER_WORDS for w in words)) and not self.main
         self.junk = up is not None and up.junk or tag in BOILERPLATE_TAGS or header or any(w in BOILERPLATE_WORDS for w in words)
