@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placeloom.llm import decontaminate, mainhtml, mixing, quality, secrets, sharding, simhash, tokens, warc
+from placeloom.llm import decontaminate, lattice, mainhtml, mixing, quality, secrets, sharding, simhash, tokens, warc
 from placeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,3 +197,8 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.secrets(docs, secrets.fit(docs))
+
+
+@query
+def op9_lattice_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from placeloom.llm.common import cut_lineage, text_batches, text_of
+from placeloom.llm.unionfind import join_sets, roots
 from placeloom.operators.graph import components
 
 DIFF = 3
@@ -84,24 +85,6 @@ def _keys(fp: Column) -> list[Column]:
     return keys
 
 
-def _root(lab: np.ndarray, x: np.ndarray) -> np.ndarray:
-    r = lab[x]
-    while True:
-        up = lab[r]
-        if (up == r).all():
-            return r
-        r = up
-
-
-def _join(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Unite the sets of i[k] and j[k]; lab holds parents, the smaller position is the root."""
-    while len(i):
-        a, b = _root(lab, i), _root(lab, j)
-        open_ = a != b
-        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
-        np.minimum.at(lab, np.maximum(a, b), np.minimum(a, b))
-
-
 def forest(bucket: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest within runs of equal `bucket` (rows are sorted by it)."""
     n = len(fp)
@@ -121,8 +104,8 @@ def forest(bucket: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for p in range(table.shape[1]):
             i = i[np.abs(table[i, p] - table[i + d, p]) <= DIFF]
         i = i[np.bitwise_count(u[i] ^ u[i + d]) <= DIFF]
-        _join(lab, i, i + d)
-    root = _root(lab, np.arange(len(fp)))
+        join_sets(lab, i, i + d)
+    root = roots(lab, np.arange(len(fp)))
     moved = np.flatnonzero(root != np.arange(len(fp)))
     return fp[moved], fp[root[moved]]
 
