@@ -195,7 +195,7 @@ _B12 = [
     ("weak_type", f"NOT {D.like(_N, dims.CORE_TYPE)}"), ("excluded_name", D.like(_N, dims.REJECT_NAME)),
     ("private_or_subarea_plant_garden", D.like(_N, dims.PRIVATE_PLANT)),
     ("private_ecological_venue", f"{D.like(_N, '生态园$')} AND NOT {D.like(_N, '公生态园$')}"),
-    ("cultural_scenic_area", f"{D.like(_N, '景区$')} AND NOT {D.like(f'replace({_N}, chr(26223) || chr(21306), chr(32))', dims.NATURAL_SCENIC)}"),
+    ("cultural_scenic_area", f"{D.like(_N, '景区$')} AND NOT {D.like(f'replace({_N}, {D.q('景区')}, {D.q(' ')})', dims.NATURAL_SCENIC)}"),
     ("ambiguous_natural_feature", f"length({_N}) <= 3 AND {D.like(_N, '(?:山|湖|岛|洲|滩|谷|岭|峰|森林)$')}"),
     ("sub_poi", f"{D.like(_N, dims.SUB_POI.replace('(?!一期|二期|三期|四期)', ''))} OR {D.like('address', dims.SUB_POI.replace('(?!一期|二期|三期|四期)', ''))}"),
     ("road_intersection", D.like(_N, "与.+交叉口")),

@@ -81,16 +81,29 @@ def e6(t):
     return top.where(F.col("rank") <= limit).select("id", "city", "rank")
 
 
-@query("e7_free_slots", uses="photos_v", sql="""
+_E7 = """
     WITH old AS (SELECT * FROM photos_v WHERE o % 3 = 0), inc AS (SELECT place_id, url, min(o) AS seq FROM photos_v WHERE o % 3 <> 0 OR o % 6 = 0 GROUP BY 1, 2),
     f AS (SELECT i.*, coalesce(h.n, 0) AS have FROM inc i LEFT JOIN (SELECT place_id, count(*) AS n FROM old GROUP BY 1) h USING (place_id)
           WHERE NOT EXISTS (SELECT 1 FROM old x WHERE x.place_id = i.place_id AND x.url = i.url))
     SELECT place_id, url, have - 1 + row_number() OVER (PARTITION BY place_id ORDER BY seq, url) AS sort_order FROM f
-    QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY seq, url) <= greatest(0, 5 - have)""")
-def e7(t):
+    QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY seq, url) <= greatest(0, {quota} - have)"""
+
+
+def _free_slots(t, quota):
     p = t("photos_v")
     inc = p.where("o % 3 <> 0 or o % 6 = 0").select("place_id", "url", F.col("o").alias("seq"))
-    return R.append_to_free_slots(p.where("o % 3 = 0"), inc, 5).select("place_id", "url", "sort_order")
+    return R.append_to_free_slots(p.where("o % 3 = 0"), inc, quota).select("place_id", "url", "sort_order")
+
+
+@query("e7_free_slots", uses="photos_v", sql=_E7.format(quota=5))
+def e7(t):
+    return _free_slots(t, 5)
+
+
+@query("e7_free_slots_20", uses="photos_v", sql=_E7.format(quota=20))
+def e7_20(t):
+    """A quota column; the place of the most photos has more free slots than it has photos to fill them."""
+    return _free_slots(t, F.lit(20))
 
 
 @query("e8_range_decisions", uses="photos_v", sql="""
@@ -252,7 +265,7 @@ def f1(t):
 
 @query("f2_evidence_top_n", sql=f"""
     WITH r AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS u, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents),
-    l AS (SELECT *, {_LINE} AS line, regexp_replace(lower(substr({_LINE}, 1, 800)), '[^0-9a-z\\x{{4e00}}-\\x{{9fff}}]+', '', 'g') AS key FROM r),
+    l AS (SELECT *, {_LINE} AS line, regexp_replace(lower({_LINE}), '[^0-9a-z\\x{{4e00}}-\\x{{9fff}}]+', '', 'g') AS key FROM r),
     f AS (SELECT * FROM l WHERE line <> '' AND key <> '' QUALIFY row_number() OVER (PARTITION BY source, key ORDER BY doc_id, n) = 1)
     SELECT source, doc_id, n AS line_no, row_number() OVER (PARTITION BY source ORDER BY doc_id, n) AS rank FROM f QUALIFY rank <= 80""")
 def f2(t):
@@ -263,18 +276,18 @@ def f2(t):
 
 
 @query("f3_stable_order", uses="places_v", sql="""
-    SELECT id, name FROM (SELECT id, name, category, CASE WHEN k % 2 = 0 THEN 'new_candidate' ELSE 'possible_duplicate' END AS status FROM places_v) ORDER BY status, category, name, id LIMIT 200""")
+    SELECT id, name FROM (SELECT id, name, category, CASE WHEN k % 2 = 0 THEN 'new_candidate' ELSE 'possible_duplicate' END AS status FROM places_v)""")
 def f3(t):
     status = F.when(F.col("k") % 2 == 0, "new_candidate").otherwise("possible_duplicate")
-    return t("places_v").orderBy(status, "category", "name", "id").limit(200).select("id", "name")
+    return t("places_v").orderBy(status, "category", "name", "id").select("id", "name")
 
 
 @query("f4_pair_listing", uses="places_v", sql=f"""
     SELECT a.id AS first_id, b.id AS second_id, {D.rnd(D.meters('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude'))} AS distance_m FROM places_v a JOIN places_v b ON a.category = b.category AND a.id < b.id
-    WHERE {D.meters('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} <= 45 AND a.latitude <> 0 ORDER BY 3, 1, 2 LIMIT 500""")
+    WHERE {D.meters('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} <= 45""")
 def f4(t):
     from placeloom.operators.grid import near_self_pairs
 
-    pairs = near_self_pairs(t("places_v").select("id", "category", "latitude", "longitude"), 45.0, ["category"], unknown="zero")
+    pairs = near_self_pairs(t("places_v").select("id", "category", "latitude", "longitude"), 45.0, ["category"])
     out = pairs.select(F.col("a_id").alias("first_id"), F.col("b_id").alias("second_id"), geo.js_round(F.col("distance")).alias("distance_m"))
-    return out.orderBy("distance_m", "first_id", "second_id").limit(500)
+    return out.orderBy("distance_m", "first_id", "second_id")

@@ -95,14 +95,14 @@ def a6(t):
     lists = rows.withColumn("chunk", chunk).withColumn("part", F.spark_partition_id()).groupBy("chunk", "part").agg(
         F.collect_list(F.struct("id", "status", "cand_no")).alias("results"))
     lists.select(F.pmod("chunk", F.lit(3)).alias("shard"), "results").write.partitionBy("shard").json(root)
-    df = t.spark.read.schema("results ARRAY<STRUCT<id: STRING, status: STRING, cand_no: INT>>").json([f"{root}/shard={i}" for i in range(3)])
-    return df.select(F.explode("results").alias("r")).select("r.*")
+    return files.audit_shards(t.spark, [f"{root}/shard={i}" for i in range(3)], "id: STRING, status: STRING, cand_no: INT", multi_line=False)
 
 
 DOCS = f"""
     SELECT p.id, p.name, p.category, p.latitude, p.longitude, p.address, p.hours, p.description,
-           coalesce(f.photos, '') AS photos, strftime(make_timestamp(CAST(p.updated_at AS BIGINT) * 1000000), '%Y-%m-%d') AS updated_at
-    FROM places_v p LEFT JOIN (SELECT place_id, string_agg(url, ';' ORDER BY sort_order, photo_id) AS photos FROM photos_v GROUP BY 1) f ON f.place_id = p.id"""
+           coalesce(f.photos, '') AS photos, coalesce(f.part, 0) AS part, strftime(make_timestamp(CAST(p.updated_at AS BIGINT) * 1000000), '%Y-%m-%d') AS updated_at
+    FROM places_v p LEFT JOIN (SELECT place_id, part, string_agg(url, ';' ORDER BY sort_order, photo_id) AS photos FROM (
+      SELECT *, (row_number() OVER (PARTITION BY place_id ORDER BY sort_order, photo_id) - 1) // 10000 AS part FROM photos_v) GROUP BY 1, 2) f ON f.place_id = p.id"""
 
 
 @query("a7_csv_backup", uses="places_v photos_v", sql=DOCS)
@@ -110,10 +110,10 @@ def a7(t):
     """Writes the CSV backup and reads it back."""
     path = scratch_path(t.spark, "backup")
     files.write_backup(files.publish_docs(files.nest_photos(t("places_v"), t("photos_v"))), path)
-    schema = ", ".join(f"{c} {'DOUBLE' if c in ('latitude', 'longitude') else 'STRING'}" for c in files.BACKUP_COLUMNS)
+    schema = ", ".join(f"{c} {'DOUBLE' if c in ('latitude', 'longitude') else 'INT' if c == 'part' else 'STRING'}" for c in files.BACKUP_COLUMNS)
     back = t.spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).option(
         "mode", "FAILFAST").csv(path)
-    return back.fillna("", [c for c in files.BACKUP_COLUMNS if c not in ("latitude", "longitude")])
+    return back.fillna("", [c for c in files.BACKUP_COLUMNS if c not in ("latitude", "longitude", "part")])
 
 
 @query("a8_publish_docs", uses="places_v photos_v", sql=DOCS)

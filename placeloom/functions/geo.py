@@ -96,13 +96,20 @@ def grid_row(lat, radius_m: float) -> Column:
     return F.floor(lat / F.lit(radius_m / METERS_PER_DEGREE)).cast("long")
 
 
+def grid_cols(row: Column, radius_m: float) -> Column:
+    """Number of columns of a grid row around the globe: each at least the radius wide at the row's outermost neighbour
+    latitude. Rows next to a pole, and rows with room for two columns only, are one cell."""
+    step = radius_m / METERS_PER_DEGREE
+    edge = (F.abs(row) + 2) * F.lit(step)
+    n = F.floor(F.lit(360 / (step * 1.000001)) * F.cos(F.radians(F.least(edge, F.lit(89.9))))).cast("long")
+    return F.when((edge >= 89.9) | (n < 3), F.lit(1).cast("long")).otherwise(n)
+
+
 def grid_col(lon, row: Column, radius_m: float) -> Column:
-    """Column number inside a grid row; its width is the radius at the row's outermost neighbour latitude."""
+    """Column number inside a grid row; columns go round the globe, so ±180° are the same border."""
     lon = F.col(lon) if isinstance(lon, str) else lon
-    step = radius_m / METERS_PER_DEGREE
-    edge = F.least((F.abs(row) + 2) * F.lit(step), F.lit(89.9))
-    width = F.lit(step * 1.000001) / F.cos(F.radians(edge))
-    return F.floor(lon / width).cast("long")
+    n = grid_cols(row, radius_m)
+    return F.pmod(F.floor((lon + 180) / 360 * n).cast("long"), n)
 
 
 def inset_box(south: Column, north: Column, top_ratio: Column, bottom_ratio: Column) -> tuple[Column, Column]:

@@ -232,10 +232,10 @@ def nature_address(city: Column, district_hint, map_address, hint) -> Column:
     m, h = tidy(map_address), tidy(hint)
     district = extract_district(F.concat_ws(" ", m, text(district_hint), h))
     locator = "路|街|巷|弄|大道|公路|村|镇|乡|园|苑|湖|河|浜|港|桥|交叉口|口|旁|侧|段|沿线"
-    rest_of_map = F.substring(m, F.length(city) + F.length(district) + 1, F.lit(100000))
-    no_city = F.when(h.startswith(city), F.substring(h, F.length(city) + 1, F.lit(100000))).otherwise(h)
+    rest_of_map = F.substr(m, F.length(city) + F.length(district) + 1)
+    no_city = F.when(h.startswith(city), F.substr(h, F.length(city) + 1)).otherwise(h)
     no_district = F.when(
-        (district != "") & no_city.startswith(district), F.substring(no_city, F.length(district) + 1, F.lit(100000))
+        (district != "") & no_city.startswith(district), F.substr(no_city, F.length(district) + 1)
     ).otherwise(no_city)
     return (
         F.when(m.startswith(city) & (district != "") & rest_of_map.rlike(locator), m)
@@ -348,9 +348,14 @@ def library_description(name) -> Column:
     )
 
 
-def condense(description, name, useful: str = dims.USEFUL_CLAUSE, filler: str = dims.FILLER_CLAUSE) -> Column:
-    """Keep up to four factual clauses, none contained in another, about 130 characters in all.
+def condense(
+    description, name, useful: str = dims.USEFUL_CLAUSE, filler: str = dims.FILLER_CLAUSE,
+    clauses: int = 4, enough: int = 130, longest: int = 150, clause: int = 64,
+) -> Column:
+    """Keep up to `clauses` factual clauses, none contained in another, until `enough` characters are there.
 
+    A summary of a fixed format: a clause longer than `clause` characters ends at its last enumeration mark, and
+    the summary is `longest` characters long at most.
     A fold over the clauses of ONE text value, so its cost follows that text alone.
     """
     original = F.regexp_replace(sub(text(description), (f"{SPACE}+", "")), "[；;]", "。")
@@ -364,18 +369,18 @@ def condense(description, name, useful: str = dims.USEFUL_CLAUSE, filler: str =
     pieces = F.filter(
         F.transform(F.split(original, "[。！？!?；;：:，,]"), tidy),
         lambda v: (F.length(v) >= 5) & (F.length(v) <= 90) & v.rlike(useful) & ~v.rlike(filler))
-    # longer than 64: cut after the last enumeration mark or bracket in the first 64, if at 30 or later
-    clipped = F.transform(pieces, lambda v: F.when(F.length(v) <= 64, v).otherwise(
-        F.regexp_extract(F.substring(v, 1, 64), "^(.{30,}[、）)])", 1)))
+    # too long: cut after the last enumeration mark or bracket that still fits, if at 30 or later
+    clipped = F.transform(pieces, lambda v: F.when(F.length(v) <= clause, v).otherwise(
+        F.regexp_extract(F.substring(v, 1, clause), "^(.{30,}[、）)])", 1)))
     empty = F.array().cast("array<string>")
 
     def step(acc, v):
-        full = (F.length(F.array_join(acc, "；")) >= 130) | (F.size(acc) >= 4)
+        full = (F.length(F.array_join(acc, "；")) >= enough) | (F.size(acc) >= clauses)
         known = F.exists(acc, lambda s: s.contains(v) | v.contains(s))
         return F.when(full | (v == "") | known, acc).otherwise(F.array_append(acc, v))
 
     joined = sub(F.array_join(F.aggregate(clipped, empty, step), "；"), ("[、，,。；;！!？?]+$", ""))
-    return F.when(original.contains("可按该地址导航至公开标注位置"), F.lit("")).otherwise(F.substring(joined, 1, 150))
+    return F.when(original.contains("可按该地址导航至公开标注位置"), F.lit("")).otherwise(F.substring(joined, 1, longest))
 
 
 def nature_description(name, address) -> Column:

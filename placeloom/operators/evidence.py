@@ -70,9 +70,10 @@ def evidence_kinds(context: Column, is_source: Column, terms: list[str] = dims.F
     ])
 
 
-def cap_evidence(rows: DataFrame, keys: list[str], order: list, cap: int, text_col: str = "context") -> DataFrame:
-    """First `cap` rows per key with different normalised text."""
-    uniq = first_per_key(rows.withColumn("_key", T.alnum_key(F.substring(text_col, 1, 800))).where("_key <> ''"), [*keys, "_key"], order)
+def cap_evidence(rows: DataFrame, keys: list[str], order: list, cap: int, text_col: str = "context", compared: int | None = None) -> DataFrame:
+    """First `cap` rows per key with different normalised text; `compared` limits the comparison to leading characters."""
+    text = F.col(text_col) if compared is None else F.substring(text_col, 1, compared)
+    uniq = first_per_key(rows.withColumn("_key", T.alnum_key(text)).where("_key <> ''"), [*keys, "_key"], order)
     return top_k(uniq, keys, order, cap, "rank").drop("_key")
 
 
@@ -237,8 +238,7 @@ def reverse_references(refs: DataFrame) -> DataFrame:
     from placeloom.functions import keys as K
 
     nested = F.filter(F.split(F.coalesce(F.try_parse_url("url", F.lit("QUERY")), F.lit("")), "&"), lambda v: v.startswith("url="))
-    inner = F.try_url_decode(F.substring(F.try_element_at(nested, F.lit(1)), 5, 100000)) if hasattr(F, "try_url_decode") else F.url_decode(
-        F.substring(F.try_element_at(nested, F.lit(1)), 5, 100000))
+    inner = F.try_url_decode(F.substr(F.try_element_at(nested, F.lit(1)), F.lit(5)))
     proxied = F.when(K.url_host("url").contains("sogoucdn.com") & inner.rlike("^https?://"), inner)
     both = F.array_compact(F.array(
         F.struct(F.col("url").alias("u"), F.lit("extracted").alias("k")),

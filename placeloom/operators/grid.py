@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from placeloom.functions import geo
@@ -10,13 +12,14 @@ from placeloom.session import cut_lineage
 
 
 def _cells_around(df: DataFrame, lat: str, lon: str, radius: float, offsets) -> DataFrame:
-    """One row per neighbour cell; the column number is taken at the width of the neighbour's own row."""
+    """One row per neighbour cell; the column number is taken at the width of the neighbour's own row and wraps at ±180°."""
     row = geo.grid_row(lat, radius)
-    cells = F.array(*[
-        F.struct((row + dr).alias("r"), (geo.grid_col(lon, row + dr, radius) + dc).alias("c"), F.lit(dr == 0 and dc == 0).alias("home"))
+    cells = F.array_distinct(F.array(*[
+        F.struct((row + dr).alias("r"), F.pmod(geo.grid_col(lon, row + dr, radius) + dc, geo.grid_cols(row + dr, radius)).alias("c"))
         for dr, dc in offsets
-    ])
-    return df.withColumn("_cell", F.explode(cells)).select("*", "_cell.r", "_cell.c", "_cell.home").drop("_cell")
+    ]))
+    home = (F.col("r") == row) & (F.col("c") == geo.grid_col(lon, row, radius))
+    return df.withColumn("_cell", F.explode(cells)).select("*", "_cell.r", "_cell.c").drop("_cell").withColumn("home", home)
 
 
 def _own_cell(df: DataFrame, lat: str, lon: str, radius: float) -> DataFrame:
@@ -28,12 +31,11 @@ def _prefixed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
 
 
 HALF = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]  # own cell and the four after it: every pair meets once
-DENSE_CELL = 2_000  # points of one cell above which pairs are met by a finer key
 
 
 def near_self_pairs(
     df: DataFrame, radius: float, on: list[str], id_col: str = "id", lat: str = "latitude", lon: str = "longitude",
-    unknown: str = "inf", fine=None, dense: int | None = None,
+    unknown: str = "inf", fine=None,
 ) -> DataFrame:
     """Unordered pairs within `radius` metres and equal `on`; columns a_*, b_* with a_id < b_id, and distance.
 
@@ -41,41 +43,27 @@ def near_self_pairs(
     cell of the radius' size at least a fixed share of the pairs is near, so work follows the number of near pairs.
 
     A caller that wants only a part of the near pairs gives `fine(side)`, side 0 or 1: an array of text keys such
-    that every wanted pair shares a key between its two sides. Cells with more than `dense` points are then met
-    on cell and key, so a crowded spot does not cost all its pairs; a pair may come out more than once there.
+    that every wanted pair shares a key between its two sides. Rows then meet on cell and key, so a crowded spot does
+    not cost all its pairs, and a pair that shares several keys comes out once.
     """
     good = geo.finite(lat, lon)
     if unknown == "zero":
         good = good & (F.col(lat) != 0) & (F.col(lon) != 0)
     pts = df.where(good)
-    probe = _prefixed(_cells_around(pts, lat, lon, radius, HALF), "x_", [*on, "r", "c", "home"])
-    base = _prefixed(_own_cell(pts, lat, lon, radius), "y_", [*on, "r", "c"])
-    cell = [*on, "r", "c"]
-    crowded = None
+    cell, probes, bases = [*on, "r", "c"], _cells_around(pts, lat, lon, radius, HALF), _own_cell(pts, lat, lon, radius)
+    if fine is not None:
+        cell = [*cell, "_key"]
+        probes, bases = (rows.withColumn("_key", F.explode(F.array_distinct(fine(side)))) for side, rows in enumerate((probes, bases)))
+    met = skew_join(_prefixed(probes, "x_", [*cell, "home"]), _prefixed(bases, "y_", cell), cell)
     if fine is not None:
-        n = base.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (dense or DENSE_CELL)).select(*cell)
-        crowded = None if n.isEmpty() else cut_lineage(n)
-    if crowded is None:
-        met = skew_join(probe, base, cell)
-    else:
-        calm = skew_join(probe, base.join(crowded, cell, "left_anti"), cell)
-
-        def keyed(rows, prefix, side):
-            rows = rows.join(crowded, cell, "left_semi")
-            for c in df.columns:  # the keys are written against the plain column names
-                rows = rows if c in on else rows.withColumnRenamed(prefix + c, c)
-            rows = rows.withColumn("_key", F.explode(F.array_distinct(fine(side))))
-            for c in df.columns:
-                rows = rows if c in on else rows.withColumnRenamed(c, prefix + c)
-            return rows
-
-        busy = skew_join(keyed(probe, "x_", 0), keyed(base, "y_", 1), [*cell, "_key"]).drop("_key")
-        met = calm.unionByName(busy.select(*calm.columns))
+        met = met.drop("_key")
     met = met.where(
         (~F.col("home") | (F.col(f"x_{id_col}") < F.col(f"y_{id_col}"))) & (F.col(f"x_{id_col}") != F.col(f"y_{id_col}"))
         & _same_band(f"x_{lat}", f"y_{lat}", radius))
     d = geo.haversine_m(f"x_{lat}", f"x_{lon}", f"y_{lat}", f"y_{lon}")
     met = keep_value(met.withColumn("_d", d), "distance", F.when(F.col("_d") <= radius, F.col("_d"))).drop("_d")
+    if fine is not None:
+        met = met.dropDuplicates([f"x_{id_col}", f"y_{id_col}"])
     swap = F.col(f"x_{id_col}") > F.col(f"y_{id_col}")
     cols = [c for c in df.columns if c not in on]
     return met.select(
@@ -110,11 +98,12 @@ def nearest(
 
     Works on distinct origin points. Widening rings: a point leaves the loop in the first ring that settles it,
     so only thinly covered points meet wide cells. Beyond 200 km the rings first meet occupied 0.25° cells
-    instead of places, and then only the places of the cells that can still hold the nearest one.
+    instead of places (wider cells in wider rings), and then only the places of the cells that can still hold the nearest one.
     """
     spots = places.where(geo.finite("latitude", "longitude")).select(F.col(place_id).alias("pid"), "latitude", "longitude")
-    key = F.concat_ws("|", "latitude", "longitude")
-    left = origins.where(geo.finite("latitude", "longitude")).select("latitude", "longitude").distinct()
+    # adding 0.0 turns -0.0 into 0.0, which distinct() takes for the same point
+    key = F.concat_ws("|", F.col("latitude") + 0.0, F.col("longitude") + 0.0)
+    left = origins.where(geo.finite("latitude", "longitude")).select((F.col("latitude") + 0.0).alias("latitude"), (F.col("longitude") + 0.0).alias("longitude")).distinct()
     cores = max(left.sparkSession.sparkContext.defaultParallelism, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     left = cut_lineage(left.withColumn("oid", key).repartition(cores))  # few bytes a point, but many comparisons
     found, radius = None, start
@@ -142,7 +131,9 @@ def _ring(left: DataFrame, spots: DataFrame, radius: float) -> DataFrame:
     return _best(met.select(F.col("l_oid").alias("oid"), F.col("r_pid").alias("pid"), "distance"))
 
 
-def _far_ring(left: DataFrame, spots: DataFrame, radius: float, cell: float = 0.25) -> DataFrame:
+def _far_ring(left: DataFrame, spots: DataFrame, radius: float) -> DataFrame:
+    """The cells double with the ring, so a ring meets a bounded number of occupied cells however far it reaches."""
+    cell = 0.25 * 2 ** max(0, math.ceil(math.log2(radius / 200_000)) - 1)
     half = 0.75 * cell * geo.METERS_PER_DEGREE  # no point of a cell is farther from its centre
 
     def at(c):
@@ -174,9 +165,12 @@ def box_level(south: Column, north: Column, west: Column, east: Column) -> Colum
 def points_in_boxes(points: DataFrame, boxes: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """Inner join of points with boxes(south, north, west, east), edges included.
 
-    Each box is filed under the grid level of its size; points are filed under the levels in use (at most
-    21 numbers, read to the driver) and the two meet in an equi-join.
+    Corners may come in any order; a box with a corner that is missing or not finite holds nothing. Each box is filed
+    under the grid level of its size; points are filed under the levels in use (at most 21 numbers, read to the
+    driver) and the two meet in an equi-join.
     """
+    boxes = boxes.where(geo.finite("south", "north", "west", "east")).withColumns({
+        "south": F.least("south", "north"), "north": F.greatest("south", "north"), "west": F.least("west", "east"), "east": F.greatest("west", "east")})
     boxes = boxes.withColumn("_lv", box_level(F.col("south"), F.col("north"), F.col("west"), F.col("east")))
     levels = sorted(r[0] for r in boxes.select("_lv").where("_lv is not null").distinct().collect())
     if not levels:

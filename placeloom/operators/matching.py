@@ -151,15 +151,15 @@ def _ids(df: DataFrame) -> DataFrame:
 
 
 def _on(cands: DataFrame, places: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """Equi-join on derived keys that must not be empty ('' never matches)."""
+    """Equi-join on derived keys that must not be empty ('' never matches); only the smallest place of a key takes part."""
     c, p = cands, places
     for k, expr in keys.items():
         c, p = c.withColumn("k_" + k, expr), p.withColumn("k_" + k, expr)
     names = ["k_" + k for k in keys]
     last = names[-1]
-    c = c.where(F.col(last) != "").select("cand_id", *names, F.col("name").alias("c_name"))
-    p = p.where(F.col(last) != "").select(F.col("id").alias("place_id"), *names, F.col("name").alias("p_name"))
-    return skew_join(p, c, names)
+    c = c.where(F.col(last) != "").select("cand_id", *names)
+    p = p.where(F.col(last) != "").groupBy(*names).agg(F.min("id").alias("place_id"))
+    return skew_join(c, p, names)
 
 
 def _first_match(parts: list[DataFrame]) -> DataFrame:
@@ -188,7 +188,7 @@ def match_existing(cands: DataFrame, places: DataFrame, variant: str) -> DataFra
         named = _related_names(c, p)
         return _first_match([_ids(door), named])
     if variant == "name_address_60m":
-        near = _near(c, p, 60.0)
+        near = _near(c, _smallest(p), 60.0)
         return _first_match([
             _ids(_on(c, p, {**cat, "n": T.normalize_name("name")})), _ids(_on(c, p, {**cat, "a": T.normalize_address("address")})),
             near.where(F.col("distance") < 60).select("cand_id", "place_id")])
@@ -197,16 +197,22 @@ def match_existing(cands: DataFrame, places: DataFrame, variant: str) -> DataFra
         inside = (F.least(F.length(a), F.length(b)) >= 6) & T.contains_either(a, b)
         return _first_match([
             _ids(_on(c, p, {**cat, "a": T.normalize_address("address", "dedupe")})), _ids(_on(c, p, {**cat, "n": T.dedupe_key("name")})),
-            _near(c, p, 150.0).where(inside).select("cand_id", "place_id")])
+            _near(c, _smallest(p, "name"), 150.0).where(inside).select("cand_id", "place_id")])
     if variant == "exact_name_or_address":
         return _first_match([_ids(_on(c, p, {**cat, "n": F.col("name")})), _ids(_on(c, p, {**cat, "a": F.col("address")}))])
     if variant == "name_40m":
         key = lambda df: df.withColumn("nm", T.normalize_name("name"))
-        met = near_pairs(key(c), key(p), 40.0, ["category", "nm"]).where(F.col("distance") < 40)
+        met = near_pairs(key(c), _smallest(key(p), "nm"), 40.0, ["category", "nm"]).where(F.col("distance") < 40)
         return _first_match([met.select(F.col("l_id").alias("cand_id"), F.col("r_id").alias("place_id"))])
     raise ValueError(variant)
 
 
+def _smallest(p: DataFrame, *more: str) -> DataFrame:
+    """One row, the smallest id, of the places that stand at one point (and agree in `more`)."""
+    at = p.groupBy("category", "latitude", "longitude", *more).agg(F.min("id").alias("id"))
+    return at if "name" in more else at.withColumn("name", F.lit(""))
+
+
 def _near(c: DataFrame, p: DataFrame, radius: float) -> DataFrame:
     met = near_pairs(c.drop("cand_id"), p, radius, ["category"])
     return met.select(F.col("l_id").alias("cand_id"), F.col("r_id").alias("place_id"), F.col("l_name").alias("c_name"), F.col("r_name").alias("p_name"), "distance")

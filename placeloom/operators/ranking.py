@@ -46,11 +46,13 @@ def append_to_free_slots(existing: DataFrame, incoming: DataFrame, quota: Column
     have = existing.groupBy("place_id").agg(F.count(F.lit(1)).alias("have"))
     fresh = first_per_key(incoming, ["place_id", "url"], ["seq"])
     fresh = fresh.join(existing.select("place_id", "url").distinct(), ["place_id", "url"], "left_anti")
+    most = quota if isinstance(quota, int) else None
     quota = F.lit(quota) if isinstance(quota, int) else quota
     fresh = fresh.join(have, "place_id", "left").withColumn("have", F.coalesce("have", F.lit(0)))
     w = Window.partitionBy("place_id").orderBy("seq", "url")
-    limit = 10  # no quota is larger; lets Spark cut every task's share before the shuffle
-    ranked = fresh.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= limit)
+    ranked = fresh.withColumn("slot", F.row_number().over(w))
+    if most is not None:  # lets Spark cut every task's share before the shuffle
+        ranked = ranked.where(F.col("slot") <= most)
     return ranked.where(F.col("slot") <= F.greatest(F.lit(0), quota - F.col("have"))).withColumn(
         "sort_order", (F.col("have") + F.col("slot") - 1).cast("long"))
 

@@ -6,13 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from placeloom.session import cut_lineage
 
-HOT_ROWS = 1_000_000  # rows of one key above which the key is spread over several tasks
-SMALL_BYTES = 64 << 20  # estimated input below which no key needs spreading
-
-
-def _small(df: DataFrame) -> bool:
-    """Planner's size estimate below one task's comfortable share; then no key of it can be a straggler."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+HOT_ROWS = 1_000_000  # rows of one key above which a numbering is spread over several tasks
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
@@ -28,13 +22,14 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
 def skew_join(
     big: DataFrame, other: DataFrame, keys: list[str], how: str = "inner", hot_rows: int | None = None
 ) -> DataFrame:
-    """Equi-join (inner, left, left_semi, left_anti) whose hot keys are salted.
+    """Equi-join (inner, left, left_semi, left_anti) that stands a hot key in `big`.
 
-    Without hot keys this is a plain join and AQE picks the strategy. `big` rows of a hot key are dealt out over
-    salts, `other` rows of it are repeated once per salt.
+    Spark splits a hot key's partitions of `big` at run time by their real size (skew join handling, forced in
+    build_session), whatever join strategy the sizes call for. With `hot_rows` given, keys with more rows are salted
+    instead: `big` rows of a hot key are dealt out over salts by their place in the input, so equal rows part too, and
+    `other` rows of it are repeated once per salt.
     """
-    limit = hot_rows or HOT_ROWS
-    hot = None if hot_rows is None and _small(big) else hot_keys(big, keys, limit)
+    hot = None if hot_rows is None else hot_keys(big, keys, hot_rows)
     if hot is None:
         return big.join(other, keys, how)
     hot = hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_salts")
@@ -44,8 +39,8 @@ def skew_join(
         return df.join(hot, cond, "left").drop(*[f"_h_{k}" for k in keys])  # Spark broadcasts it by its real size
 
     salts = F.coalesce(F.col("_salts"), F.lit(1))
-    rows = [c for c, t in big.dtypes if "map<" not in t]
-    left = with_salts(big).withColumn("_salt", F.pmod(F.xxhash64(*rows), salts).cast("int")).drop("_salts")
+    left = with_salts(big.withColumn("_row", F.monotonically_increasing_id()))
+    left = left.withColumn("_salt", F.pmod("_row", salts).cast("int")).drop("_salts", "_row")
     right = with_salts(other).withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
@@ -73,14 +68,13 @@ def rank_within(
 ) -> DataFrame:
     """1-based position of every row inside its key.
 
-    A plain window while every key is small. Otherwise (and always for a whole-table position) rows are
-    range-partitioned by key and order, numbered per range, and shifted by the counts of the earlier ranges
-    of the same key; no key is gathered in one task. `order` must be total for a fixed result.
+    A plain window while no key has more than `hot_rows` rows, by a count with map-side sums. Otherwise (and always for
+    a whole-table position) rows are range-partitioned by key and order, numbered per range, and shifted by the
+    counts of the earlier ranges of the same key; no key is gathered in one task. `order` must be total.
     """
-    calm, hot_rows = hot_rows is None, hot_rows or HOT_ROWS
     order = _flip(order)
     if keys:
-        if (calm and _small(df)) or hot_keys(df, keys, hot_rows) is None:
+        if hot_keys(df, keys, hot_rows or HOT_ROWS) is None:
             return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     parts = df.sparkSession.sparkContext.defaultParallelism
     shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -16,6 +16,7 @@ def build_session(app: str = "placeloom", master: str | None = None, **conf: str
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         **conf,
     }
     for key, value in settings.items():

@@ -32,9 +32,9 @@ def vision_records(spark: SparkSession, path: str) -> DataFrame:
     return v.withColumn("labels", F.map_from_entries("classifications")).drop("classifications")
 
 
-def audit_shards(spark: SparkSession, paths: list[str], result_schema: str) -> DataFrame:
-    """Union of the result lists of several shard files, one row per result."""
-    df = spark.read.schema(f"results ARRAY<STRUCT<{result_schema}>>").option("multiLine", True).json(paths)
+def audit_shards(spark: SparkSession, paths: list[str], result_schema: str, multi_line: bool = True) -> DataFrame:
+    """Union of the result lists of several shard files, one row per result; a file is one record, or one record a line."""
+    df = spark.read.schema(f"results ARRAY<STRUCT<{result_schema}>>").option("multiLine", multi_line).json(paths)
     return df.select(F.explode("results").alias("r")).select("r.*")
 
 
@@ -51,19 +51,18 @@ def inventory_totals(files: DataFrame) -> DataFrame:
     return files.groupBy("top").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
 
 
-def nest_photos(places: DataFrame, photos: DataFrame, max_photos: int = 100_000) -> DataFrame:
-    """Places with their photo urls as an ordered array.
+def nest_photos(places: DataFrame, photos: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """Places with their photo urls as ordered arrays of `chunk` urls at most, numbered by `part`.
 
-    A document holds all its photos, so the array is as long as the place's photo list. The longest list is
-    measured first; one beyond `max_photos` stops the job with its size instead of filling one task.
+    A place has one row per part, nearly always the single part 0; so a list of any length is published and no
+    task gathers more than a chunk.
     """
-    counts = photos.groupBy("place_id").count()
-    longest = counts.agg(F.max("count")).first()[0] or 0
-    if longest > max_photos:
-        raise ValueError(f"a place has {longest} photos; use ordered_photos() for lists beyond {max_photos}")
-    arr = photos.groupBy(F.col("place_id").alias("id")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("sort_order", "photo_id", "url"))), lambda p: p["url"]).alias("photos"))
-    return places.join(arr, "id", "left").withColumn("photos", F.coalesce("photos", F.array().cast("array<string>")))
+    pos = rank_within(photos.select("place_id", "photo_id", "url", "sort_order"), ["place_id"], ["sort_order", "photo_id"], "pos")
+    part = F.floor((F.col("pos") - 1) / chunk).cast("int")
+    arr = pos.groupBy(F.col("place_id").alias("id"), part.alias("part")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "url"))), lambda p: p["url"]).alias("photos"))
+    joined = places.join(arr, "id", "left")
+    return joined.withColumn("photos", F.coalesce("photos", F.array().cast("array<string>"))).withColumn("part", F.coalesce("part", F.lit(0)))
 
 
 def ordered_photos(places: DataFrame, photos: DataFrame) -> DataFrame:
@@ -79,13 +78,13 @@ def epoch_seconds(c):
 
 
 def publish_docs(nested: DataFrame) -> DataFrame:
-    """The ten published fields; the update time becomes an ISO date."""
+    """The published fields and the part of the photo list; the update time becomes an ISO date."""
     day = F.date_format(F.timestamp_seconds(epoch_seconds("updated_at")), "yyyy-MM-dd")
     return nested.select(
-        "id", "name", "category", "latitude", "longitude", "address", "hours", "description", "photos", day.alias("updated_at"))
+        "id", "name", "category", "latitude", "longitude", "address", "hours", "description", "part", "photos", day.alias("updated_at"))
 
 
-BACKUP_COLUMNS = ["id", "name", "category", "latitude", "longitude", "address", "hours", "description", "photos", "updated_at"]
+BACKUP_COLUMNS = ["id", "name", "category", "latitude", "longitude", "address", "hours", "description", "photos", "updated_at", "part"]
 
 
 def backup_rows(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from placeloom.functions import text as T
+from placeloom.functions import geo, text as T
 from placeloom.operators import duplicates as DUP, evidence as EV, gallery as G, graph, grid, ranking as R, scale, sync
 from placeloom.operators.select import by_categories, by_category
 
@@ -19,9 +19,8 @@ def hav(a, b):
 
 @pytest.fixture()
 def hot(monkeypatch):
-    """Every key above five rows counts as hot and no input as small."""
+    """Every key above five rows counts as hot."""
     monkeypatch.setattr(scale, "HOT_ROWS", 5)
-    monkeypatch.setattr(scale, "SMALL_BYTES", 0)
 
 
 def points(n, seed=1, spread=0.01):
@@ -286,9 +285,8 @@ def test_evidence_job(spark):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_similar_names_in_a_crowded_spot(spark, hot, seed, monkeypatch):
-    """The finer key of crowded cells loses no pair that the name rules accept."""
-    monkeypatch.setattr(grid, "DENSE_CELL", 3)
+def test_similar_names_in_a_crowded_spot(spark, hot, seed):
+    """The finer key loses no pair that the name rules accept, and gives each once."""
     r = random.Random(seed)
     names = []
     for _ in range(12):
@@ -306,10 +304,10 @@ def test_similar_names_in_a_crowded_spot(spark, hot, seed, monkeypatch):
     inside = (F.least(F.length(a), F.length(b)) >= 4) & T.contains_either(a, b)
     wanted = (T.similarity(a, b) >= 0.82) | inside
     plain = grid.near_self_pairs(df, 120.0, ["category"])
-    keyed = grid.near_self_pairs(df, 120.0, ["category"], fine=DUP.similar_name_keys, dense=3)
+    keyed = grid.near_self_pairs(df, 120.0, ["category"], fine=DUP.similar_name_keys)
     want = {(x.a_id, x.b_id) for x in plain.where(wanted).collect()}
     assert {(x.a_id, x.b_id) for x in keyed.where(wanted).collect()} == want and len(want) > 20
-    assert keyed.select("a_id", "b_id").distinct().count() < plain.count()
+    assert keyed.select("a_id", "b_id").distinct().count() == keyed.count() < plain.count()
     nodes = df.unionByName(df.limit(1).withColumn("id", F.lit("empty")).withColumn("nm", F.lit(""))).withColumn("ord", F.length("nm"))
     free = DUP.grid_conflicts(nodes, ["category"], 55.0)
     got = {tuple(sorted((x.earlier, x.later))) for x in free.collect()}
@@ -335,3 +333,82 @@ def test_publish_twice_pushes_nothing(spark):
 def test_text_ngrams(spark):
     df = spark.createDataFrame([("abcd",), ("ab",), ("",)], "v string")
     assert [r.x for r in df.select(T.ngrams("v", 3).alias("x")).collect()] == [["abc", "bcd"], [], []]
+
+
+def test_name_keys_grow_with_the_name_only(spark):
+    df = spark.createDataFrame([(n, "".join(chr(0x4E00 + (i * 7919) % 2000) for i in range(n))) for n in (10, 20, 40, 80)], "n int, nm string")
+    got = {r.n: r.k for r in df.select("n", F.size(DUP.similar_name_keys(0)).alias("k")).collect()}
+    assert all(k <= 2 * n + 2 for n, k in got.items()), got
+
+
+def test_free_slots_beyond_ten(spark):
+    from placeloom.operators import ranking
+
+    old = spark.createDataFrame([("a", "u0")], "place_id string, url string")
+    new = spark.createDataFrame([("a", f"u{i}", i) for i in range(40)] + [("b", f"u{i}", i) for i in range(3)], "place_id string, url string, seq int")
+    for quota in (20, F.lit(20)):
+        got = ranking.append_to_free_slots(old, new, quota).groupBy("place_id").agg(F.count("*").alias("n"), F.max("sort_order").alias("m")).collect()
+        assert {(r.place_id, r.n, r.m) for r in got} == {("a", 19, 19), ("b", 3, 2)}
+
+
+def test_whole_texts_are_compared(spark):
+    from placeloom.functions import text
+    from placeloom.operators import evidence
+
+    long = "字" * 900
+    rows = spark.createDataFrame([("k", 1, long + "a"), ("k", 2, long + "b"), ("k", 3, long + "a")], "k string, n int, context string")
+    assert [r.n for r in evidence.cap_evidence(rows, ["k"], ["n"], 9).orderBy("n").collect()] == [1, 2]
+    assert evidence.cap_evidence(rows, ["k"], ["n"], 9, compared=800).count() == 1
+    a = spark.createDataFrame([("", "上海市浦东新区" + "x" * 150_000,)], "m string, h string")
+    assert len(a.select(text.nature_address(F.lit("上海市"), F.lit(""), "m", "h").alias("v")).first().v) >= 150_000
+
+
+def test_photo_lists_of_any_length(spark):
+    from placeloom.sources import files
+
+    places = spark.createDataFrame([("a",), ("b",)], "id string")
+    photos = spark.range(25).select(F.lit("a").alias("place_id"), F.format_string("p%02d", "id").alias("photo_id"), F.col("id").cast("string").alias("url"), F.lit(0).alias("sort_order"))
+    got = {(r.id, r.part): r.photos for r in files.nest_photos(places, photos, 10).collect()}
+    assert {k: len(v) for k, v in got.items()} == {("a", 0): 10, ("a", 1): 10, ("a", 2): 5, ("b", 0): 0}
+    assert sum((got["a", i] for i in range(3)), []) == [str(i) for i in range(25)]
+
+
+@pytest.mark.parametrize("radius", [60.0, 5000.0])
+def test_grid_at_the_edges_of_the_map(spark, radius):
+    """Pairs across ±180° and around the poles, against all pairs."""
+    r, step = random.Random(8), radius / 111194.0
+    pts = []
+    for lat, lon in ((0, 180), (10, -180), (60, 179.9999), (89.9999, 10), (-89.9999, 30), (89.85, 0), (0, 0), (90, 0), (-90, 5)):
+        for _ in range(12):
+            pts.append((max(-90.0, min(90.0, lat + r.uniform(-2, 2) * step)), (lon + r.uniform(-2, 2) * step + 180) % 360 - 180))
+    pts += [(89.9999, 190.0 - 360), (89.9999, 100.0), (0.0, 180.0), (0.0, -180.0)]
+    df = spark.createDataFrame([(f"{i:03d}", "a", la, lo) for i, (la, lo) in enumerate(pts)], "id string, category string, latitude double, longitude double")
+    a, b = (df.select(*[F.col(c).alias(p + c) for c in df.columns]) for p in "ab")
+    d = geo.haversine_m("alatitude", "alongitude", "blatitude", "blongitude")
+    want = {(x.aid, x.bid) for x in a.join(b, F.col("aid") < F.col("bid")).where(d <= radius).collect()}
+    got = [(x.a_id, x.b_id) for x in grid.near_self_pairs(df, radius, ["category"]).collect()]
+    assert len(want) > 100 and sorted(got) == sorted(want)
+    met = [(x.l_id, x.r_id) for x in grid.near_pairs(df, df, radius).where("l_id < r_id").collect()]
+    assert sorted(met) == sorted(want)
+
+
+def test_nearest_at_the_edges_of_the_map(spark):
+    r = random.Random(9)
+    places = [(f"{i:03d}", r.uniform(-90, 90), r.uniform(-180, 180)) for i in range(60)] + [("e", 0.0, 179.9999), ("p", 89.99, 10.0)]
+    origins = [(i, r.uniform(-90, 90), r.uniform(-180, 180)) for i in range(40)] + [(90, -0.0, -179.9999), (91, 89.99, -170.0), (92, 0.0, 180.0), (93, -0.0, 0.0), (94, 0.0, -0.0)]
+    p = spark.createDataFrame(places, "id string, latitude double, longitude double")
+    o = spark.createDataFrame(origins, "origin int, latitude double, longitude double")
+    j = o.crossJoin(p.select("id", F.col("latitude").alias("y"), F.col("longitude").alias("x")))
+    want = {x.origin: x.b.id for x in j.groupBy("origin").agg(F.min(F.struct(geo.haversine_m("latitude", "longitude", "y", "x").alias("d"), "id")).alias("b")).collect()}
+    assert {x.origin: x.place_id for x in grid.nearest(o, p).collect()} == want
+
+
+def test_viewport_corners(spark):
+    from placeloom.operators import select
+
+    nan, inf = float("nan"), float("inf")
+    places = spark.createDataFrame([("a", "自然", 31.5, 121.5), ("b", "自然", 40.0, 100.0)], "id string, category string, latitude double, longitude double")
+    boxes = [(1, 31.0, 32.0, 121.0, 122.0), (2, 32.0, 31.0, 122.0, 121.0), (3, nan, 32.0, 121.0, 122.0), (4, 31.0, inf, 121.0, 122.0), (5, None, 32.0, 121.0, 122.0), (6, 41.0, 31.0, 99.0, 122.0)]
+    v = spark.createDataFrame(boxes, "vid int, south double, north double, west double, east double").withColumn("category", F.lit(select.dims.ALL_CATEGORIES))
+    got = sorted((r.vid, r.id) for r in select.viewport_pages(v, places, 10).collect())
+    assert got == [(1, "a"), (2, "a"), (6, "a"), (6, "b")]
