@@ -167,20 +167,41 @@ def similar_name_keys(side: int, name: str = "nm", loss: float = 0.18, gram: int
     return F.when((n > 0) | F.lit(gram == 1), keys).otherwise(none)
 
 
+def shared_letter_keys(units: DataFrame, share: float = 0.25) -> DataFrame:
+    """(nm, keys): letters of which two names have one in common when their edit similarity is at least `share`.
+
+    Such names share at least ceil(share · n) letters of a name of n letters (repeats numbered), so in any fixed order
+    the first n - ceil(share · n) + 1 letters of both hold a common one. The order is rarest first over all names, which
+    leaves out the letters that most names end with.
+    """
+    names = units.select("nm").distinct()
+    n = F.length("nm")
+    numbered = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(
+        F.substring(F.col("nm"), i, 1), F.lit("#"),
+        F.size(F.split(F.substring(F.col("nm"), F.lit(1), i), F.concat(F.lit("\\Q"), F.substring(F.col("nm"), i, 1), F.lit("\\E")))).cast("string")))
+    letters = cut_lineage(names.select("nm", F.explode(F.when(n > 0, numbered).otherwise(F.array(F.lit("")))).alias("letter")))
+    often = letters.groupBy("letter").agg(F.count(F.lit(1)).alias("often"))
+    ranked = skew_join(letters, often, ["letter"]).groupBy("nm").agg(F.array_sort(F.collect_list(F.struct("often", "letter"))).alias("l"))
+    first = n - F.ceil(n * share - 1e-9) + 1
+    return cut_lineage(ranked.select("nm", F.transform(F.slice("l", F.lit(1), first.cast("int")), lambda x: x["letter"]).alias("keys")))
+
+
 def duplicate_edges(units: DataFrame) -> DataFrame:
     """Evidence between units. A row with a = b says that the copies of that unit are duplicates of each other.
 
     The six rules are reached through four meeting keys, each checked by the full rule chain on the spot, so
-    only proven edges are shuffled again.
+    only proven edges are shuffled again. Units at one address, or at two of which one contains the other, meet only
+    if their names share a rare enough letter, so an address with very many names does not cost all their pairs.
     """
-    same_address = _equal_key_pairs(units.where("addr <> ''"), ["addr"])
+    keyed = units.join(shared_letter_keys(units), "nm").withColumn("key", F.explode("keys")).drop("keys")
+    same_address = _equal_key_pairs(keyed.where("addr <> ''"), ["addr", "key"]).drop("a_key", "b_key").dropDuplicates(["a_id", "b_id"])
     same_door = _equal_key_pairs(units.where("door <> ''"), ["nm", "door"])
     # one meeting per contained pair of addresses, then the units at both
     spans = contained_addresses(units)
     rest = [c for c in units.columns if c != "category"]
-    short = units.select("category", F.col("addr").alias("short"), *[F.col(c).alias("x_" + c) for c in rest])
-    long = units.select("category", F.col("addr").alias("long"), *[F.col(c).alias("y_" + c) for c in rest])
-    hung = skew_join(long, skew_join(short, spans, ["category", "short"]), ["category", "long"])
+    short = keyed.select("category", F.col("addr").alias("short"), "key", *[F.col(c).alias("x_" + c) for c in rest])
+    long = keyed.select("category", F.col("addr").alias("long"), "key", *[F.col(c).alias("y_" + c) for c in rest])
+    hung = skew_join(long, skew_join(short, spans, ["category", "short"]), ["category", "long", "key"]).dropDuplicates(["x_id", "y_id"])
     swap = F.col("x_id") > F.col("y_id")
     contained = hung.select(
         "category",

@@ -412,3 +412,20 @@ def test_viewport_corners(spark):
     v = spark.createDataFrame(boxes, "vid int, south double, north double, west double, east double").withColumn("category", F.lit(select.dims.ALL_CATEGORIES))
     got = sorted((r.vid, r.id) for r in select.viewport_pages(v, places, 10).collect())
     assert got == [(1, "a"), (2, "a"), (6, "a"), (6, "b")]
+
+
+def test_names_at_one_address(spark):
+    """5 000 names at one address: far fewer meetings than pairs, and no similar pair is lost."""
+    r = random.Random(3)
+    alphabet = [chr(0x4E00 + i) for i in range(3000)]
+    names = ["".join(r.choice(alphabet) for _ in range(r.randint(4, 9))) for _ in range(5000)]
+    u = spark.createDataFrame([(f"{i:04d}", "a", "x", n) for i, n in enumerate(names)], "id string, category string, addr string, nm string")
+    keyed = u.join(DUP.shared_letter_keys(u), "nm").withColumn("key", F.explode("keys")).drop("keys")
+    met = DUP._equal_key_pairs(keyed, ["addr", "key"]).dropDuplicates(["a_id", "b_id"])
+    few = u.limit(300).withColumn("nm", F.when(F.col("id") % 3 == 0, F.col("nm")).otherwise(F.concat(F.lit("字字"), F.substring("nm", 1, 4))))
+    a, b = (few.select(F.col("id").alias(p + "_id"), F.col("nm").alias(p + "_nm")) for p in "ab")
+    want = {(x.a_id, x.b_id) for x in a.join(b, F.col("a_id") < F.col("b_id")).where(T.similarity(F.col("a_nm"), F.col("b_nm")) >= 0.25).collect()}
+    k = few.join(DUP.shared_letter_keys(few), "nm").withColumn("key", F.explode("keys")).drop("keys")
+    got = {(x.a_id, x.b_id) for x in DUP._equal_key_pairs(k, ["addr", "key"]).select("a_id", "b_id").distinct().collect()}
+    assert want <= got
+    assert met.count() < 12_500_000 / 20
