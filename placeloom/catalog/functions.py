@@ -303,7 +303,21 @@ def h27a(t):
     return EV.html_links(t("pages")).select("page_id", "position", "href")
 
 
-@query("h27_page_headings")
+def _visible(x):
+    """Visible text in SQL: scripts, styles, comments and tags out, entities resolved, white space squeezed."""
+    steps = [(r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>", " "), (r"(?s)<!--.*?-->", " "), (r"(?s)<[^>]*>", " "), ("&nbsp;|&#160;", " "),
+             ("&lt;", "<"), ("&gt;", ">"), ("&quot;|&#34;", '"'), ("&#39;|&apos;", "''"), ("&amp;", "&"), (D.SP + "+", " ")]
+    for a, b in steps:
+        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
+    return f"trim({x})"
+
+
+@query("h27_page_headings", sql=f"""
+    SELECT page_id, block, CAST(part[3:3] AS INT) AS level, {_visible("regexp_extract(part, '(?is)^<h[1-6][^>]*>(.*?)</h[1-6]>', 1)")} AS heading,
+      {_visible("regexp_replace(part, '(?is)^<h[1-6][^>]*>.*?</h[1-6]>', '')")} AS snippet
+    FROM (SELECT page_id, unnest(p) AS part, unnest(range(0, len(p))) AS block FROM (
+      SELECT page_id, string_split(regexp_replace(html, '(?i)(<h[1-6]\\b)', chr(1) || '\\1', 'g'), chr(1)) AS p FROM pages))
+    WHERE regexp_matches(part, '(?i)^<h[1-6]\\b')""")
 def h27b(t):
     return EV.html_headings(t("pages"))
 
@@ -318,9 +332,9 @@ def h27c(t):
     return EV.html_table_rows(t("part").select(F.col("p_partkey").alias("page_id"), html.alias("html")))
 
 
-@query("h27_page_text", sql="SELECT page_id, length(html) > 0 AS has_text FROM pages")
+@query("h27_page_text", sql=f"SELECT page_id, {_visible('html')} AS visible FROM pages")
 def h27d(t):
-    return t("pages").select("page_id", (F.length(EV.html_text("html")) > 0).alias("has_text"))
+    return t("pages").select("page_id", EV.html_text("html").alias("visible"))
 
 
 _TEMPL = [("baidu", "https://www.baidu.com/s?wd=", "r"), ("sogou", "https://www.sogou.com/web?query=", "r"), ("amap", "https://www.amap.com/search?query=", "n"), ("weibo", "https://s.weibo.com/weibo?q=", "n")]

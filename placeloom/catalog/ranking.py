@@ -192,10 +192,16 @@ def e13(t):
     return G.close_hashes(t("photos_v"))
 
 
-@query("e13_thin_near_copies")
+# the greedy scan row by row: the list of kept rows grows along the positions of a key
+@query("e13_thin_near_copies", uses="photos_v", sql="""
+    WITH RECURSIVE_MARK o AS (SELECT photo_id AS id, place_id, dhash, row_number() OVER (PARTITION BY place_id ORDER BY sort_order, photo_id) AS n FROM photos_v),
+    s AS (SELECT o.*, TRUE AS kept, [dhash] AS held FROM o WHERE n = 1
+      UNION ALL SELECT o.*, z.free, CASE WHEN z.free THEN list_append(s.held, o.dhash) ELSE s.held END FROM s JOIN o ON o.place_id = s.place_id AND o.n = s.n + 1,
+        LATERAL (SELECT len(list_filter(s.held, lambda h: bit_count(xor(h, o.dhash)) <= 7)) = 0 AS free) z)
+    SELECT id, place_id, kept FROM s""")
 def e13b(t):
     p = t("photos_v").select(F.col("photo_id").alias("id"), "place_id", "dhash", "sort_order")
-    return G.thin_near_copies(p, F.col("sort_order").cast("long"))
+    return G.thin_near_copies(p, F.col("sort_order").cast("long")).select("id", "place_id", "kept")
 
 
 @query("e14_keep_first")

@@ -10,7 +10,7 @@ from placeloom import dims
 from placeloom.functions.text import SPACE
 from placeloom.operators.graph import keep_first
 from placeloom.operators.scale import rank_within, skew_join
-from placeloom.session import cut_lineage
+from placeloom.session import cut_lineage, drop_step
 
 
 def top_label(labels: Column, names: list[str]) -> Column:
@@ -147,12 +147,13 @@ def pick_gallery(photos: DataFrame, max_per_place: int = 5, d_limit: int = 8) ->
         passed = j.where(before).select("place_id", "photo_id", F.col("why").alias("reason"))
         settled = settled.unionByName(cut_lineage(passed))
         rest = j.where(~before & (F.col("photo_id") != F.col("k.photo_id")))
-        state = cut_lineage(rest.select(
+        older, state = state, cut_lineage(rest.select(
             *[c for c in state.columns if c not in ("ext_taken", "near", "same_focus")],
             (F.col("ext_taken") | F.col("k.exterior")).alias("ext_taken"),
             (F.col("near") | looks_same("k.", d_limit)).alias("near"),
             (F.col("same_focus") + F.when(F.col("focus") == F.col("k.focus"), 1).otherwise(0)).alias("same_focus"),
         ))
+        drop_step(older)
     full = None if kept is None else kept.groupBy("place_id").agg(F.count(F.lit(1)).alias("n"))
     if full is None:
         left = state.select("place_id", "photo_id", F.lit("low_relevance_or_watermark").alias("reason"))

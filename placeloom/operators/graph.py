@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from placeloom.operators.scale import skew_join
-from placeloom.session import cut_lineage
+from placeloom.session import cut_lineage, drop_step
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,25 +18,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     e = cut_lineage(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     ids = e.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    label = ids.select("id", F.col("id").alias("component"))
+    label = cut_lineage(ids.select("id", F.col("id").alias("component")))
     while not e.isEmpty():
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         parent = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("p"))
-        parent = cut_lineage(parent)
+        parent = last = cut_lineage(parent)
         while True:  # pointer jumping until every node points at a root
             up = parent.select(F.col("node").alias("p"), F.col("p").alias("pp"))
             jumped = skew_join(parent, up, ["p"]).select("node", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved"))
             jumped = cut_lineage(jumped)
             done = jumped.where("moved").isEmpty()
-            parent = jumped.select("node", "p")
+            drop_step(last)
+            parent, last = jumped.select("node", "p"), jumped
             if done:
                 break
         step = parent.select(F.col("node").alias("component"), "p")
-        label = cut_lineage(skew_join(label, step, ["component"], "left").select("id", F.coalesce("p", "component").alias("component")))
+        older, label = label, cut_lineage(skew_join(label, step, ["component"], "left").select("id", F.coalesce("p", "component").alias("component")))
+        drop_step(older)
         pu = parent.select(F.col("node").alias("u"), F.col("p").alias("pu"))
         pv = parent.select(F.col("node").alias("v"), F.col("p").alias("pv"))
         moved = skew_join(skew_join(e, pu, ["u"]), pv, ["v"]).where("pu <> pv")
-        e = cut_lineage(moved.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
+        older, e = e, cut_lineage(moved.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
+        drop_step(older)
+        drop_step(last)
     return label
 
 
@@ -65,9 +69,11 @@ def keep_first(nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
         step = cut_lineage(free.select("id", F.lit(None).cast(lost.dtypes[1][1]).alias("blocked_by")).unionByName(lost))
         decided = step if decided is None else decided.unionByName(step)
         settled = step.select("id")
-        todo = cut_lineage(todo.join(settled, "id", "left_anti"))
+        older, todo = (todo, edges, free), cut_lineage(todo.join(settled, "id", "left_anti"))
         edges = skew_join(edges, settled.select(F.col("id").alias("earlier")), ["earlier"], "left_anti")
         edges = cut_lineage(skew_join(edges, settled.select(F.col("id").alias("later")), ["later"], "left_anti"))
+        for step in older:
+            drop_step(step)
     if decided is None:
         return nodes.select("id", F.lit(True).alias("kept"), F.col("id").alias("blocked_by")).limit(0)
     return decided.select("id", F.col("blocked_by").isNull().alias("kept"), "blocked_by")

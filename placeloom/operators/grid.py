@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from placeloom.functions import geo
 from placeloom.operators.scale import keep_value, skew_join
-from placeloom.session import cut_lineage
+from placeloom.session import cut_lineage, drop_step
 
 
 def _cells_around(df: DataFrame, lat: str, lon: str, radius: float, offsets) -> DataFrame:
@@ -113,7 +113,8 @@ def nearest(
         found = hit if found is None else found.unionByName(hit)
         if radius > 21_000_000:
             break
-        left = cut_lineage(left.join(hit.select("oid"), "oid", "left_anti"))
+        older, left = left, cut_lineage(left.join(hit.select("oid"), "oid", "left_anti"))
+        drop_step(older)
         radius *= grow
     if found is None:
         return origins.withColumn("place_id", F.lit(None).cast("string")).withColumn("distance", F.lit(None).cast("double"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,4 +51,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "step")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._step_path = path
+    return out
+
+
+def drop_step(df: DataFrame | None) -> None:
+    """Delete the table behind a frame made by cut_lineage, once nothing reads it any more; other frames stay as they are.
+
+    For loops, which store a new step each round. A store that pyarrow has no file system for keeps its steps until the
+    folder is cleared.
+    """
+    path = getattr(df, "_step_path", None)
+    if path is None:
+        return
+    try:
+        fs, root = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    except (pa.ArrowInvalid, OSError):
+        return
+    fs.delete_dir(root)
