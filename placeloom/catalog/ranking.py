@@ -204,9 +204,24 @@ def e13b(t):
     return G.thin_near_copies(p, F.col("sort_order").cast("long")).select("id", "place_id", "kept")
 
 
-@query("e14_keep_first")
+def _e14():
+    from placeloom.catalog.filters import _B12, _NM
+
+    first = [(c, x) for c, x in _B12 if c not in ("manual_identity_or_scope_reject", "existing_name")]
+    near = D.meters("h.la", "h.lo", "o.latitude", "o.longitude")
+    return f"""
+    WITH RECURSIVE_MARK p AS (SELECT *, {_NM.format(x='name')} AS nm, {D.case(first)} AS reason FROM pois_v),
+    o AS (SELECT id, city, nm, latitude, longitude, row_number() OVER (PARTITION BY city ORDER BY district, length(name), name, id) AS n FROM p WHERE reason = ''),
+    s AS (SELECT o.*, TRUE AS kept, [{{'nm': nm, 'la': latitude, 'lo': longitude}}] AS held FROM o WHERE n = 1
+      UNION ALL SELECT o.*, z.free, CASE WHEN z.free THEN list_append(s.held, {{'nm': o.nm, 'la': o.latitude, 'lo': o.longitude}}) ELSE s.held END
+      FROM s JOIN o ON o.city = s.city AND o.n = s.n + 1,
+        LATERAL (SELECT len(list_filter(s.held, lambda h: h.nm = o.nm OR ((contains(h.nm, o.nm) OR contains(o.nm, h.nm)) AND {near} < 55))) = 0 AS free) z)
+    SELECT id, kept FROM s"""
+
+
+@query("e14_keep_first", uses="pois_v", sql=_e14())
 def e14(t):
-    return curated_pois(t)
+    return curated_pois(t).select("id", "kept")
 
 
 def curated_pois(t):
