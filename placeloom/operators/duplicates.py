@@ -143,9 +143,9 @@ def contained_addresses(units: DataFrame, n: int = 6) -> DataFrame:
 def similar_name_keys(side: int, name: str = "nm", loss: float = 0.18, gram: int = 4) -> Column:
     """Text keys that two names share when their edit similarity is at least 1 - loss, or one contains the other.
 
-    Edits: a name of n letters has n bigrams (a start mark before the first letter, repeats numbered). With at most
+    Edits: a name of n letters has n bigrams (a start mark stands before the first letter). With at most
     t = floor(loss · L) edits, L the longer length, at most 2t bigrams of either name are not in the other, so in any
-    fixed order the first 2t + 1 bigrams of the two names share one. The order is by hash, and t is taken at the
+    fixed order the first 2t + 1 different bigrams of the two names share one. The order is by hash, and t is taken at the
     longest partner that a name can have, so a name has about 0.44 n keys. Containment: a contained name of `gram`
     or more letters starts with a piece that is one of the longer name's pieces; the two sides of a pair write the
     two parts (A, B) the other way round.
@@ -154,9 +154,8 @@ def similar_name_keys(side: int, name: str = "nm", loss: float = 0.18, gram: int
     none = F.array().cast("array<string>")
     marked = F.concat(F.lit("^"), F.col(name))
     bigrams = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(marked, i, 2))).otherwise(none)
-    numbered = F.transform(bigrams, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(bigrams, F.lit(1), i), lambda x: x == g)).cast("string")))
     edits = F.floor(F.floor(n / F.lit(1 - loss) + 1e-9) * F.lit(loss) + 1e-9).cast("int")
-    ordered = F.array_sort(F.transform(numbered, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
+    ordered = F.array_sort(F.transform(F.array_distinct(bigrams), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
     edit_keys = F.transform(F.slice(ordered, F.lit(1), 2 * edits + 1), lambda x: F.concat(F.lit("e:"), x["g"]))
     pieces = F.transform(T.ngrams(name, gram), lambda g: F.concat(F.lit("g:"), g))
     start = F.when(n >= gram, F.array(F.concat(F.lit("g:"), F.substring(name, 1, gram)))).otherwise(none)

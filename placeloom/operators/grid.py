@@ -13,13 +13,11 @@ from placeloom.session import cut_lineage, drop_step
 
 def _cells_around(df: DataFrame, lat: str, lon: str, radius: float, offsets) -> DataFrame:
     """One row per neighbour cell; the column number is taken at the width of the neighbour's own row and wraps at ±180°."""
-    row = geo.grid_row(lat, radius)
-    cells = F.array_distinct(F.array(*[
-        F.struct((row + dr).alias("r"), F.pmod(geo.grid_col(lon, row + dr, radius) + dc, geo.grid_cols(row + dr, radius)).alias("c"))
-        for dr, dc in offsets
-    ]))
-    home = (F.col("r") == row) & (F.col("c") == geo.grid_col(lon, row, radius))
-    return df.withColumn("_cell", F.explode(cells)).select("*", "_cell.r", "_cell.c").drop("_cell").withColumn("home", home)
+    steps = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in offsets]))
+    rows = df.withColumn("_o", steps).withColumn("r", geo.grid_row(lat, radius) + F.col("_o.dr")).withColumn("_n", geo.grid_cols(F.col("r"), radius))
+    rows = rows.where((F.col("_n") > 1) | (F.col("_o.dc") == 0))  # a row of one cell is its own neighbour
+    rows = rows.withColumn("c", F.pmod(geo.grid_col(lon, F.col("r"), radius) + F.col("_o.dc"), F.col("_n")))
+    return rows.withColumn("home", (F.col("_o.dr") == 0) & (F.col("_o.dc") == 0)).drop("_o", "_n")
 
 
 def _own_cell(df: DataFrame, lat: str, lon: str, radius: float) -> DataFrame:
@@ -43,17 +41,20 @@ def near_self_pairs(
     cell of the radius' size at least a fixed share of the pairs is near, so work follows the number of near pairs.
 
     A caller that wants only a part of the near pairs gives `fine(side)`, side 0 or 1: an array of text keys such
-    that every wanted pair shares a key between its two sides. Rows then meet on cell and key, so a crowded spot does
+    that every wanted pair shares a key between its two sides. Rows, whose ids must differ then, meet on cell and key, so a crowded spot does
     not cost all its pairs, and a pair that shares several keys comes out once.
     """
     good = geo.finite(lat, lon)
     if unknown == "zero":
         good = good & (F.col(lat) != 0) & (F.col(lon) != 0)
     pts = df.where(good)
-    cell, probes, bases = [*on, "r", "c"], _cells_around(pts, lat, lon, radius, HALF), _own_cell(pts, lat, lon, radius)
+    # the keys of a row are made once, before the row is sent to its cells; a clash of their hashes only makes two rows meet
+    slim = [*dict.fromkeys([*on, id_col, lat, lon])]
+    ends = [pts if fine is None else pts.select(*slim, F.array_distinct(F.transform(fine(side), lambda k: F.xxhash64(k))).alias("_keys")) for side in (0, 1)]
+    cell, probes, bases = [*on, "r", "c"], _cells_around(ends[0], lat, lon, radius, HALF), _own_cell(ends[1], lat, lon, radius)
     if fine is not None:
         cell = [*cell, "_key"]
-        probes, bases = (rows.withColumn("_key", F.explode(F.array_distinct(fine(side)))) for side, rows in enumerate((probes, bases)))
+        probes, bases = (rows.withColumn("_key", F.explode("_keys")).drop("_keys") for rows in (probes, bases))
     met = skew_join(_prefixed(probes, "x_", [*cell, "home"]), _prefixed(bases, "y_", cell), cell)
     if fine is not None:
         met = met.drop("_key")
@@ -62,8 +63,9 @@ def near_self_pairs(
         & _same_band(f"x_{lat}", f"y_{lat}", radius))
     d = geo.haversine_m(f"x_{lat}", f"x_{lon}", f"y_{lat}", f"y_{lon}")
     met = keep_value(met.withColumn("_d", d), "distance", F.when(F.col("_d") <= radius, F.col("_d"))).drop("_d")
-    if fine is not None:
-        met = met.dropDuplicates([f"x_{id_col}", f"y_{id_col}"])
+    if fine is not None:  # only ids and points have met so far; the rows' other columns come back to the near pairs
+        met = met.select(f"x_{id_col}", f"y_{id_col}", "distance").distinct()
+        met = met.join(_prefixed(pts, "x_", on), f"x_{id_col}").join(_prefixed(pts, "y_", []).drop(*["y_" + c for c in on]), f"y_{id_col}")
     swap = F.col(f"x_{id_col}") > F.col(f"y_{id_col}")
     cols = [c for c in df.columns if c not in on]
     return met.select(
