@@ -4,7 +4,8 @@ Tokens are a page's elements, each named by its path of containers (tag with its
 occurrence vector says how often it stands on each page of its host. Tokens that share a vector form a class. The root class
 has the vector of <html>, once on every page: it is the host's page template. The other classes
 (paragraphs, list items, optional boxes) nest inside its slots: a token belongs to the deepest root-class token on its
-path. Vectors are compared by a sum of page hashes, so a host's vectors are never gathered, however many pages it has.
+path. One odd page does not break a template: a token that stands exactly once on over half of the host's pages with any
+html counts as root too, and pages without html are no pages of the host. Vectors are compared by a sum of page hashes, so a host's vectors are never gathered, however many pages it has.
 
 A host's slots are then told apart: template slots under menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are never content; an article or main slot is content where the template has one; else the slot
@@ -156,6 +157,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sums: dict[tuple[str, str], list] = {}
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+            if not html or html.isspace():
+                continue
             page = xxhash.xxh64_intdigest(html.encode("utf-8", "surrogatepass"), 1)
             seen: dict[str, list] = {"#": [1, 0, 0, [], None]}
             for kind, box, raw, link in walk(html):
@@ -169,31 +172,32 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     s[1 + link] += len(raw)
                     s[3].append(raw)
             for path, (n, plain, linked, texts, box) in seen.items():
-                t = sums.setdefault((host, path), [0, 0, 0, 0, 0, None, None, bool(box and box.main), bool(box and box.junk)])
+                t = sums.setdefault((host, path), [0, 0, 0, 0, 0, None, None, bool(box and box.main), bool(box and box.junk), 0])
                 h = xxhash.xxh64_intdigest("".join(texts).encode("utf-8", "surrogatepass")) >> 1
                 t[0] += 1
                 t[1] += n
                 t[2] = (t[2] + page * n) & (2**62 - 1)
+                t[9] += n == 1
                 t[3] += plain
                 t[4] += linked
                 t[5], t[6] = min(h, t[5] if t[5] is not None else h), max(h, t[6] if t[6] is not None else h)
         rows = [(*k, *v) for k, v in sums.items()]
-        names = ["host", "path", "pages", "total", "vector", "plain", "linked", "lo", "hi", "main", "junk"]
-        types = [pa.string(), pa.string()] + [pa.int64()] * 7 + [pa.bool_()] * 2
+        names = ["host", "path", "pages", "total", "vector", "plain", "linked", "lo", "hi", "main", "junk", "once"]
+        types = [pa.string(), pa.string()] + [pa.int64()] * 7 + [pa.bool_()] * 2 + [pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
 def token_classes(pages: DataFrame) -> DataFrame:
     """(host, path, klass, root, ...) of pages(host, html): each token with its equivalence class among the host's pages."""
     p = text_batches(pages).mapInArrow(
-        _profile, "host string, path string, pages long, total long, vector long, plain long, linked long, lo long, hi long, main boolean, junk boolean")
+        _profile, "host string, path string, pages long, total long, vector long, plain long, linked long, lo long, hi long, main boolean, junk boolean, once long")
     t = p.groupBy("host", "path").agg(
         F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.sum("plain").alias("plain"),
-        F.sum("linked").alias("linked"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("main").alias("main"), F.max("junk").alias("junk"))
+        F.sum("linked").alias("linked"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("main").alias("main"), F.max("junk").alias("junk"), F.sum("once").alias("once"))
     t = t.withColumn("vector", (F.col("vector") % F.lit(2**62).cast("decimal(38,0)")).cast("long"))
-    root = t.where("path = '#'").select("host", F.col("pages").alias("n"), F.col("vector").alias("root_vector"))
+    root = t.where("path = '#'").select("host", F.col("pages").alias("n"))
     t = t.join(root, "host")
-    same = (F.col("pages") == F.col("n")) & (F.col("total") == F.col("n")) & (F.col("vector") == F.col("root_vector"))
+    same = 2 * F.col("once") > F.col("n")
     return t.select("host", "path", F.xxhash64("pages", "total", "vector").alias("klass"), same.alias("root"), "n", "pages", "total", "plain", "linked", "lo", "hi", "main", "junk")
 
 

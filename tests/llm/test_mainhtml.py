@@ -62,3 +62,18 @@ def test_odd_pages(spark):
     assert len(got) == len(rows) and texts[1] == texts[2] == texts[9] == texts[10] == ""
     assert texts[3] == "plain text &" and texts[4] == "a\nb" and texts[6] == "deep" and texts[7] == "x" and texts[8] == "t"
     assert mainhtml.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def texts_of(spark, pages):
+    rows = [(i, "http://odd.example/x", h) for i, h in enumerate(pages)]
+    got = mainhtml.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return {r.page_id: r.text for r in got}
+
+
+def test_odd_pages_of_a_host(spark):
+    shell = "<html><body><div class=intro>Site words {i}</div>{x}<div class=after>More words {i}</div></body></html>"
+    pages = [shell.format(i=i, x=f"<article><p>Text {i}</article>") for i in range(6)]
+    odd = [None, shell.format(i=7, x="<div class=only>Seven</div>"), shell.format(i=8, x="<article>Eight</article><article>Nine</article>")]
+    got = texts_of(spark, pages + odd)
+    assert [got[i] for i in range(6)] == [f"Text {i}" for i in range(6)]
+    assert got[6] == "" and got[7] == "Site words 7\nSeven\nMore words 7" and got[8] == "Eight\nNine"
