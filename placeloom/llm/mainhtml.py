@@ -8,8 +8,8 @@ path. One odd page does not break a template: a token that stands exactly once o
 html counts as root too, and pages without html are no pages of the host. Vectors are compared by a sum of page hashes, so a host's vectors are never gathered, however many pages it has.
 
 A host's slots are then told apart: template slots under menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments are never content; an article or main slot is content where the template has one; else the slot
-with the most text outside links that differs from page to page. All that a page has in its host's content slots is
+forms, scripts, styles and reader comments are never content; an article or main slot is content where the template has one; else every
+slot whose text differs from page to page and is not mostly links. All that a page has in its host's content slots is
 given out, whole. A page whose host has no template (too few pages) or that lacks the slots is decided by its own
 elements in the same order.
 """
@@ -122,8 +122,8 @@ def walk(html: str) -> Iterator[tuple[str, _Box, str, bool]]:
         yield "text", stack[-1], html[at:], links > 0
 
 
-def extract(html: str, slots: frozenset[str]) -> str:
-    """Blocks of the page's content, joined by line ends."""
+def extract(html: str, slots: frozenset[str], others: frozenset[str] = frozenset()) -> str:
+    """Blocks of the page's content, joined by line ends; what is nested in a slot of `others` is that slot's."""
 
     def blocks(wanted) -> list[str]:
         out, now = [], []
@@ -144,7 +144,8 @@ def extract(html: str, slots: frozenset[str]) -> str:
         def in_slot(box: _Box) -> bool:
             if box.path not in inside:
                 parts = box.path.split(">")
-                inside[box.path] = any(">".join(parts[:i]) in slots for i in range(1, len(parts) + 1))
+                ups = (">".join(parts[:i]) for i in range(len(parts), 0, -1))
+                inside[box.path] = next((up in slots for up in ups if up in slots or up in others), False)
             return inside[box.path] and not box.junk
 
         if found := blocks(in_slot):
@@ -202,7 +203,7 @@ def token_classes(pages: DataFrame) -> DataFrame:
 
 
 def content_slots(classes: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, slots): the paths of each host's content slots; hosts with fewer pages than `min_pages` have no row."""
+    """(host, slots, others): the paths of each host's content slots and of its other slots; hosts with fewer pages than `min_pages` have no row."""
     t = classes.where(F.col("n") >= min_pages)
     # the slot of a token: the deepest root-class token on its path
     parts = F.split("path", ">")
@@ -211,13 +212,18 @@ def content_slots(classes: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     own = up.join(roots, ["host", "slot"]).groupBy("host", "path").agg(
         F.max_by(F.struct("slot", "slot_main", "slot_junk"), F.length("slot")).alias("s")).select("host", "path", "s.*")
     t = t.join(own, ["host", "path"]).withColumn("depth", F.size(parts))
+    varies = (F.col("lo") != F.col("hi")) | ((F.col("pages") < F.col("n")) & (F.col("plain") > 0))
     slots = t.where(~F.col("slot_junk") & ~F.col("junk")).groupBy("host", "slot", "slot_main").agg(
-        F.sum("plain").alias("plain"), F.sum("linked").alias("linked"), F.max(F.col("lo") != F.col("hi")).alias("varies"))
-    # a main slot if the template has one, else the richest slot whose text varies
-    best = Window.partitionBy("host").orderBy(F.desc("varies"), F.desc(F.col("plain") - F.col("linked")), "slot")
-    slots = slots.withColumn("any_main", F.max("slot_main").over(Window.partitionBy("host"))).withColumn("rank", F.row_number().over(best))
-    chosen = slots.where(F.col("slot_main") | (~F.col("any_main") & (F.col("rank") == 1) & (F.col("plain") > 0)))
-    return chosen.groupBy("host").agg(F.array_sort(F.collect_set("slot")).alias("slots"))  # a template's slots
+        F.sum("plain").alias("plain"), F.sum("linked").alias("linked"), F.max(varies).alias("varies"))
+    # the main slots if the template has any, else all whose text varies and is not mostly links
+    slots = slots.withColumn("any_main", F.max("slot_main").over(Window.partitionBy("host")))
+    chosen = F.col("slot_main") | (~F.col("any_main") & F.col("varies") & (F.col("plain") > F.col("linked")))
+    given = slots.groupBy("host").agg(
+        F.array_sort(F.collect_set(F.when(chosen, F.col("slot")))).alias("slots"), F.array_sort(F.collect_set(F.when(~chosen, F.col("slot")))).alias("others"))
+    # what is nested in a given slot with no other slot between needs no name of its own
+    between = "exists(others, o -> startswith(s, concat(o, '>')) and length(o) > length(u))"
+    outer = F.expr(f"filter(slots, s -> not exists(slots, u -> startswith(s, concat(u, '>')) and not {between}))")
+    return given.where(F.size("slots") > 0).withColumn("slots", outer)  # a template's slots
 
 
 def host_of(url: Column) -> Column:
@@ -237,8 +243,8 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", html: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [extract(h, frozenset(s or ())) for h, s in zip(b.column("html").to_pylist(), b.column("slots").to_pylist())]
+            texts = [extract(h, frozenset(s or ()), frozenset(o or ())) for h, s, o in zip(*(b.column(c).to_pylist() for c in ("html", "slots", "others")))]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
-    out = joined.select("id", "url", "html", "slots").mapInArrow(run, schema)
+    out = joined.select("id", "url", "html", "slots", "others").mapInArrow(run, schema)
     return out.select(F.col("id").alias(id), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))

@@ -77,3 +77,10 @@ def test_odd_pages_of_a_host(spark):
     got = texts_of(spark, pages + odd)
     assert [got[i] for i in range(6)] == [f"Text {i}" for i in range(6)]
     assert got[6] == "" and got[7] == "Site words 7\nSeven\nMore words 7" and got[8] == "Eight\nNine"
+
+
+def test_split_content(spark):
+    page = ("<html><body><div class=same>Same on all pages</div><div class=post>Own {i}<div class=post-title>Title {i}</div><div class=post-lead>Lead {i}</div>"
+            "<div class=post-body>Body {i} is the longest part of the page</div></div><div class=more><a href=/>Link {i} and more</a></div></body></html>")
+    got = texts_of(spark, [page.format(i=i) for i in range(5)])
+    assert got == {i: f"Own {i}\nTitle {i}\nLead {i}\nBody {i} is the longest part of the page" for i in range(5)}
