@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from placeloom.session import cut_lineage, durable_root, scratch_path  # noqa: F401  (one import place for the operators)
+from placeloom.session import cut_lineage, drop_step, durable_root, scratch_path  # noqa: F401  (one import place for the operators)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placeloom.llm import decontaminate, lattice, mainhtml, mixing, quality, secrets, sharding, simhash, tokens, warc
+from placeloom.llm import decontaminate, lattice, mainhtml, mixing, quality, secrets, sharding, simhash, subvectors, tokens, warc
 from placeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +202,34 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_lattice_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP13 = {"k": 40, "rounds": 5, "seed": 2}
+
+
+def clustering_sql(k: int, rounds: int, seed: int) -> str:
+    """Lloyd rounds over plain vectors, one CTE a round; floor(s / n) in whole numbers."""
+    near = """SELECT id, v, c FROM (SELECT v.id, v.row_, v.v, c.c, row_number() OVER (PARTITION BY v.row_ ORDER BY
+      list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c.c) AS rank_ FROM vectors v, {c} c) WHERE rank_ = 1"""
+    steps = "".join(f"""
+near{i} AS MATERIALIZED ({near.format(c=f'c{i}')}),
+flat{i} AS (SELECT c, j, sum(v[j])::HUGEINT AS s, count(*) AS n FROM near{i}, range(1, 65) t(j) GROUP BY ALL),
+mean{i} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS v FROM flat{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(mean{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN mean{i} USING (c)),""" for i in range(rounds))
+    return f"""
+WITH vectors AS MATERIALIZED (
+  SELECT vec_id AS id, row_number() OVER () AS row_, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || id::VARCHAR)) - 1 AS c, v
+  FROM (SELECT * FROM vectors ORDER BY sha256('{seed}:' || id::VARCHAR) LIMIT {k})),{steps}
+last AS (SELECT n.id, n.c, list_sum(list_transform(list_zip(n.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d, c.v
+  FROM ({near.format(c=f'c{rounds}')}) n JOIN c{rounds} c USING (c))
+SELECT id AS vec_id, c::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(v, ',')) AS centroid_sha256
+FROM last
+"""
+
+
+@checked(clustering_sql(**OP13))
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subvectors.clusters(table(spark, sf_dir, "embeddings"), **OP13)
