@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placeloom.llm import decontaminate, lattice, mainhtml, mixing, quality, secrets, sharding, simhash, subvectors, tokens, warc
+from placeloom.llm import decontaminate, lattice, mainhtml, mixing, quality, secrets, sharding, simhash, spelling, subvectors, tokens, warc
 from placeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,3 +233,37 @@ FROM last
 @checked(clustering_sql(**OP13))
 def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subvectors.clusters(table(spark, sf_dir, "embeddings"), **OP13)
+
+
+# crc32 by its rule: the table of 256 steps of the reversed polynomial, then one step a byte
+CRC_SQL = """
+crc_table AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY b) AS t
+  FROM range(256) r(b))"""
+CRC_OF = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode({s}))),
+  lambda i: ('0x' || substr(hex(encode({s})), (2 * i + 1)::INT, 2))::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))"""
+
+
+@checked(
+    f"""
+WITH RECURSIVE {CRC_SQL},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{spelling.UPPER}', '{spelling.UPPER.lower()}'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+each AS (SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS s, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+hashed AS (SELECT run, n, {CRC_OF.format(s='s')} AS h FROM each, crc_table),
+slipped AS (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run) + 2)::INT) ELSE run END AS word FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS MATERIALIZED (SELECT word, n, i, substr(word, 1, (i - 1)::INT) || substr(word, (i + 1)::INT) AS rest FROM words, range(1, length(word) + 1) t(i)),
+pairs AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS top FROM pairs GROUP BY word),
+named AS (SELECT word, n_near, top, min(other) AS best FROM best JOIN pairs USING (word) WHERE pairs.n = top GROUP BY ALL),
+forms AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * w.n THEN best END AS form, CASE WHEN top >= 2 * w.n THEN top END AS form_n
+  FROM words w LEFT JOIN named USING (word)),
+walk AS (SELECT word, word AS tip FROM forms UNION ALL SELECT walk.word, form FROM walk JOIN forms ON forms.word = walk.tip WHERE form IS NOT NULL),
+ends AS (SELECT walk.word, tip AS root FROM walk JOIN forms ON forms.word = tip WHERE form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+"""
+)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
