@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placeloom.llm import decontaminate, lattice, mainhtml, mixing, quality, secrets, sharding, simhash, spelling, subvectors, tokens, warc
+from placeloom.llm import decontaminate, lattice, mainhtml, mixing, quality, secrets, sharding, simhash, spelling, subvectors, tokens, warc, windows
 from placeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -267,3 +267,20 @@ SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
 )
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@checked(
+    """
+WITH w AS (SELECT doc_id, row_number() OVER () AS row_, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+places AS MATERIALIZED (SELECT doc_id, row_, i, array_to_string(w[i:i + 12], ' ') AS seen FROM w, range(1, len(w) - 11) t(i)),
+first AS (SELECT seen, min(doc_id) AS first FROM places GROUP BY seen),
+starts AS (SELECT row_, list(i) AS starts FROM places JOIN first USING (seen) WHERE first < doc_id GROUP BY row_),
+gone AS (SELECT row_, unnest(list_distinct(flatten(list_transform(starts, lambda i: range(i, i + 13))))) AS i FROM starts),
+kept AS (SELECT row_, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM (SELECT row_, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w)
+  ANTI JOIN gone USING (row_, i) GROUP BY row_)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (row_)
+"""
+)
+def op12_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = windows.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
