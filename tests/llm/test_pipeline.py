@@ -10,8 +10,8 @@ from placeloom.llm import quality, queries
 from placeloom.llm.common import scratch_path
 from test_decontaminate import plain as plain_contained
 from test_mixing import fill
+from test_nearcopies import plain_groups
 from test_sharding import plain as plain_shards
-from test_simhash import plain_components, plain_fingerprint
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
@@ -47,9 +47,8 @@ def test_quality(spark, steps):
 
 
 def test_near_copies(steps):
-    before = steps[1][1]
-    groups = plain_components({i: plain_fingerprint(r.text) for i, r in before.items()})
-    assert set(steps[2][1]) == set(groups.values())
+    before = {i: r.text for i, r in steps[1][1].items()}
+    assert set(steps[2][1]) == set(plain_groups(before).values())
 
 
 def test_benchmark(spark, steps):
