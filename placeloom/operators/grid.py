@@ -165,6 +165,12 @@ def box_level(south: Column, north: Column, west: Column, east: Column) -> Colum
     return F.greatest(F.lit(0), F.least(F.lit(LEVELS - 1), F.floor(F.log2(F.lit(360.0) / span)).cast("int")))
 
 
+def ordered_boxes(boxes: DataFrame) -> DataFrame:
+    """Boxes with their corners in order; those with a corner that is missing or not finite hold nothing and go."""
+    return boxes.where(geo.finite("south", "north", "west", "east")).withColumns({
+        "south": F.least("south", "north"), "north": F.greatest("south", "north"), "west": F.least("west", "east"), "east": F.greatest("west", "east")})
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """Inner join of points with boxes(south, north, west, east), edges included.
 
@@ -172,8 +178,7 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, lat: str = "latitude",
     under the grid level of its size; points are filed under the levels in use (at most 21 numbers, read to the
     driver) and the two meet in an equi-join.
     """
-    boxes = boxes.where(geo.finite("south", "north", "west", "east")).withColumns({
-        "south": F.least("south", "north"), "north": F.greatest("south", "north"), "west": F.least("west", "east"), "east": F.greatest("west", "east")})
+    boxes = ordered_boxes(boxes)
     boxes = boxes.withColumn("_lv", box_level(F.col("south"), F.col("north"), F.col("west"), F.col("east")))
     levels = sorted(r[0] for r in boxes.select("_lv").where("_lv is not null").distinct().collect())
     if not levels:

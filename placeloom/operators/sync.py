@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from placeloom.functions import geo, keys as K
-from placeloom.operators.grid import points_in_boxes
+from placeloom.functions import keys as K
+from placeloom.operators.covers import wiped
 from placeloom.operators.scale import first_per_key, rank_within
 
 
@@ -63,15 +63,14 @@ def apply_snapshots(base: DataFrame, snapshots: DataFrame, snapshot_rows: DataFr
 
     snapshots(seq, complete, south, north, west, east); snapshot_rows(seq, id, ...base columns).
     A row written at version v is gone when a complete snapshot of a later version covers it; of the rest the
-    last write per id stays. Base rows carry version 0.
+    last write per id stays. Base rows carry version 0 unless base has its own `seq`, as an earlier replay's result has: a
+    replay may start from it with the later snapshots only.
     """
-    cols = base.columns
-    written = base.withColumn("seq", F.lit(0).cast("long")).unionByName(
-        snapshot_rows.select(*cols, F.col("seq").cast("long").alias("seq")))
-    wipes = snapshots.where("complete").select(F.col("seq").cast("long").alias("wipe"), "south", "north", "west", "east")
-    covered = points_in_boxes(written.select("id", "seq", "latitude", "longitude"), wipes)
-    gone = covered.where("wipe > seq").select("id", "seq").distinct()
-    left = written.join(gone, ["id", "seq"], "left_anti")
+    cols = [c for c in base.columns if c != "seq"]
+    seq = F.col("seq").cast("long") if "seq" in base.columns else F.lit(0).cast("long")
+    written = base.select(*cols, seq.alias("seq")).unionByName(snapshot_rows.select(*cols, F.col("seq").cast("long").alias("seq")))
+    wipes = snapshots.where("complete").select(F.col("seq").cast("long").alias("version"), "south", "north", "west", "east")
+    left = written.join(wiped(written, wipes), ["id", "seq"], "left_anti")
     return first_per_key(left, ["id"], [F.desc("seq")])
 
 
@@ -95,6 +94,3 @@ def refresh_from_list(places: DataFrame, source: DataFrame, overrides: DataFrame
         "id", key, *[want[f].alias("new_" + f) for f in fields], F.array_join(changed, ",").alias("changed"),
         missing.alias("source_missing")).where("source_missing or changed <> ''")
 
-
-def point_in(lat, lon, box) -> Column:
-    return geo.in_box(lat, lon, box)
