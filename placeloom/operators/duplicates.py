@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from placeloom import dims
 from placeloom.functions import geo, text as T
 from placeloom.operators.graph import components
-from placeloom.operators.grid import near_self_pairs
+from placeloom.operators.grid import CROWD, near_self_pairs
 from placeloom.operators.scale import keep_value, rank_within, skew_join
 from placeloom.session import cut_lineage
 
@@ -118,11 +118,9 @@ def _evidence(pairs: DataFrame) -> DataFrame:
 
 
 def _equal_key_pairs(units: DataFrame, keys: list[str]) -> DataFrame:
-    rest = [c for c in units.columns if c != "category"]
-    tagged = units.select("category", *[F.col(k).alias("k_" + k) for k in keys], *[F.col(c).alias("a_" + c) for c in rest])
-    other = units.select("category", *[F.col(k).alias("k_" + k) for k in keys], *[F.col(c).alias("b_" + c) for c in rest])
-    met = skew_join(tagged, other, ["category", *["k_" + k for k in keys]])
-    return met.where("a_id < b_id").drop(*["k_" + k for k in keys])
+    """(category, a_id, b_id) of the units that agree in all keys."""
+    a, b = (units.select("category", *keys, F.col("id").alias(n)) for n in ("a_id", "b_id"))
+    return skew_join(a, b, ["category", *keys]).where("a_id < b_id").select("category", "a_id", "b_id")
 
 
 def contained_addresses(units: DataFrame, n: int = 6) -> DataFrame:
@@ -185,37 +183,58 @@ def shared_letter_keys(units: DataFrame, share: float = 0.25) -> DataFrame:
     return cut_lineage(ranked.select("nm", F.transform(F.slice("l", F.lit(1), first.cast("int")), lambda x: x["letter"]).alias("keys")))
 
 
+def address_pairs(units: DataFrame) -> DataFrame:
+    """(category, a_id, b_id): units at one address, or at two of which one contains the other; all whose names are alike to 0.25.
+
+    Addresses meet first, then their units. Where one of the two has over CROWD units, only units whose names share a
+    rare enough letter meet, so an address with very many names does not cost all their pairs.
+    """
+    at = units.where("addr <> ''").select("category", "addr", "id", "nm")
+    count = at.groupBy("category", "addr").agg(F.count(F.lit(1)).alias("n"))
+    crowds = cut_lineage(count.where(F.col("n") > CROWD).select("category", "addr", F.lit(True).alias("full")))
+    spans = contained_addresses(units).unionByName(count.where("n > 1").select("category", F.col("addr").alias("short"), F.col("addr").alias("long")))
+    for side in ("short", "long"):
+        spans = spans.join(crowds.select("category", F.col("addr").alias(side), F.col("full").alias("full_" + side)), ["category", side], "left")
+    spans = spans.select("category", "short", "long", F.coalesce("full_short", "full_long", F.lit(False)).alias("full"))
+    if crowds.isEmpty():
+        met = _units_at(at, spans, [])
+    else:
+        spans = cut_lineage(spans)
+        open_, full = spans.where("NOT full"), spans.where("full")
+        ends = full.select("category", F.explode(F.array("short", "long")).alias("addr")).distinct()
+        crowded = at.join(ends, ["category", "addr"], "left_semi")
+        keyed = crowded.join(shared_letter_keys(crowded), "nm").withColumn("key", F.explode("keys"))
+        met = _units_at(at, open_, []).unionByName(_units_at(keyed, full, ["key"]))
+    return met.select("category", F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"))
+
+
+def _units_at(at: DataFrame, spans: DataFrame, more: list[str]) -> DataFrame:
+    short = at.select("category", F.col("addr").alias("short"), F.col("id").alias("x"), *more)
+    long = at.select("category", F.col("addr").alias("long"), F.col("id").alias("y"), *more)
+    met = skew_join(long, skew_join(short, spans.drop("full"), ["category", "short"]), ["category", "long", *more])
+    return met.where((F.col("short") != F.col("long")) | (F.col("x") < F.col("y"))).select("category", "x", "y")
+
+
 def duplicate_edges(units: DataFrame) -> DataFrame:
     """Evidence between units. A row with a = b says that the copies of that unit are duplicates of each other.
 
-    The six rules are reached through four meeting keys, each checked by the full rule chain on the spot, so
-    only proven edges are shuffled again. Units at one address, or at two of which one contains the other, meet only
-    if their names share a rare enough letter, so an address with very many names does not cost all their pairs.
+    The six rules are reached through four meeting keys. Only ids meet; each pair then gets its two units' content
+    once and is checked by the full rule chain.
     """
-    keyed = units.join(shared_letter_keys(units), "nm").withColumn("key", F.explode("keys")).drop("keys")
-    same_address = _equal_key_pairs(keyed.where("addr <> ''"), ["addr", "key"]).drop("a_key", "b_key").dropDuplicates(["a_id", "b_id"])
-    same_door = _equal_key_pairs(units.where("door <> ''"), ["nm", "door"])
-    # one meeting per contained pair of addresses, then the units at both
-    spans = contained_addresses(units)
-    rest = [c for c in units.columns if c != "category"]
-    short = keyed.select("category", F.col("addr").alias("short"), "key", *[F.col(c).alias("x_" + c) for c in rest])
-    long = keyed.select("category", F.col("addr").alias("long"), "key", *[F.col(c).alias("y_" + c) for c in rest])
-    hung = skew_join(long, skew_join(short, spans, ["category", "short"]), ["category", "long", "key"]).dropDuplicates(["x_id", "y_id"])
-    swap = F.col("x_id") > F.col("y_id")
-    contained = hung.select(
-        "category",
-        *[F.when(swap, F.col("y_" + c)).otherwise(F.col("x_" + c)).alias("a_" + c) for c in rest],
-        *[F.when(swap, F.col("x_" + c)).otherwise(F.col("y_" + c)).alias("b_" + c) for c in rest])
-    named = near_self_pairs(units, 250.0, ["category", "nm"], unknown="zero")
-    named = named.withColumn("a_nm", F.col("nm")).withColumn("b_nm", F.col("nm")).drop("nm", "distance")
-    close = near_self_pairs(units, 120.0, ["category"], unknown="zero", fine=similar_name_keys).drop("distance")
-    copies = units.where("copies > 1").select(
-        "category", *[F.col(c).alias(p + c) for p in ("a_", "b_") for c in rest])
-    parts = [_evidence(p) for p in (same_address, same_door, contained, named, close, copies)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.dropDuplicates(["a", "b"])
+    slim = units.select("id", "category", "nm", "latitude", "longitude")
+    ids = [
+        address_pairs(units), _equal_key_pairs(units.where("door <> ''"), ["nm", "door"]),
+        near_self_pairs(slim, 250.0, ["category", "nm"], unknown="zero", ids_only=True).drop("nm"),
+        near_self_pairs(slim, 120.0, ["category"], unknown="zero", fine=similar_name_keys, ids_only=True),
+        units.where("copies > 1").select("category", F.col("id").alias("a_id"), F.col("id").alias("b_id")),
+    ]
+    met = ids[0]
+    for more in ids[1:]:
+        met = met.unionByName(more)
+    met = met.distinct()
+    for side in ("a_", "b_"):
+        met = met.join(units.drop("category").select(*[F.col(c).alias(side + c) for c in units.columns if c != "category"]), side + "id")
+    return _evidence(met)
 
 
 def duplicate_groups(units: DataFrame, members: DataFrame, edges: DataFrame) -> DataFrame:

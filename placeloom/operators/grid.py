@@ -28,12 +28,13 @@ def _prefixed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
     return df.select(*[F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns])
 
 
+CROWD = 64  # rows of a cell that may all meet
 HALF = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]  # own cell and the four after it: every pair meets once
 
 
 def near_self_pairs(
     df: DataFrame, radius: float, on: list[str], id_col: str = "id", lat: str = "latitude", lon: str = "longitude",
-    unknown: str = "inf", fine=None,
+    unknown: str = "inf", fine=None, ids_only: bool = False,
 ) -> DataFrame:
     """Unordered pairs within `radius` metres and equal `on`; columns a_*, b_* with a_id < b_id, and distance.
 
@@ -41,20 +42,37 @@ def near_self_pairs(
     cell of the radius' size at least a fixed share of the pairs is near, so work follows the number of near pairs.
 
     A caller that wants only a part of the near pairs gives `fine(side)`, side 0 or 1: an array of text keys such
-    that every wanted pair shares a key between its two sides. Rows, whose ids must differ then, meet on cell and key, so a crowded spot does
-    not cost all its pairs, and a pair that shares several keys comes out once.
+    that every wanted pair shares a key between its two sides. In cells of more than CROWD rows, rows, whose ids must differ
+    then, meet on cell and key, so a crowded spot does not cost all its pairs; pairs that share no key may be missing
+    there. In other cells a row meets at most CROWD others, and their keys are never made. No pair comes out twice.
+    With ids_only the result is (*on, a_id, b_id).
     """
     good = geo.finite(lat, lon)
     if unknown == "zero":
         good = good & (F.col(lat) != 0) & (F.col(lon) != 0)
     pts = df.where(good)
-    # the keys of a row are made once, before the row is sent to its cells; a clash of their hashes only makes two rows meet
-    slim = [*dict.fromkeys([*on, id_col, lat, lon])]
-    ends = [pts if fine is None else pts.select(*slim, F.array_distinct(F.transform(fine(side), lambda k: F.xxhash64(k))).alias("_keys")) for side in (0, 1)]
-    cell, probes, bases = [*on, "r", "c"], _cells_around(ends[0], lat, lon, radius, HALF), _own_cell(ends[1], lat, lon, radius)
-    if fine is not None:
+    cell = [*on, "r", "c"]
+    if fine is None:
+        probes, bases = _cells_around(pts, lat, lon, radius, HALF), _own_cell(pts, lat, lon, radius)
+    else:
+        # only ids and points meet, and the keys of a row are made once, before the row is sent to its cells; a clash of
+        # their hashes only makes two rows meet
+        slim = pts.select(*dict.fromkeys([*on, id_col, lat, lon]))
+        crowds = _own_cell(slim, lat, lon, radius).groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD)
+        crowds = cut_lineage(crowds.select(*cell, F.lit(True).alias("_full")))
+        ends = [_cells_around(slim, lat, lon, radius, HALF), _own_cell(slim, lat, lon, radius)]
+        if crowds.isEmpty():
+            keyed = [rows.withColumn("_key", F.lit(0).cast("long")) for rows in ends]
+        else:
+            keyed = []
+            for side, rows in enumerate(ends):
+                rows = rows.join(crowds, cell, "left")
+                full = rows.where("_full").select(*cell, id_col, lat, lon, *[c for c in ("home",) if c in rows.columns]).join(pts.drop(*on, lat, lon), id_col)
+                keys = F.array_distinct(F.transform(fine(side), lambda k: F.xxhash64(k)))
+                light = rows.where("_full IS NULL").withColumn("_key", F.lit(0).cast("long")).drop("_full")
+                keyed.append(light.unionByName(full.withColumn("_key", F.explode(keys)).select(*light.columns)))
         cell = [*cell, "_key"]
-        probes, bases = (rows.withColumn("_key", F.explode("_keys")).drop("_keys") for rows in (probes, bases))
+        probes, bases = keyed
     met = skew_join(_prefixed(probes, "x_", [*cell, "home"]), _prefixed(bases, "y_", cell), cell)
     if fine is not None:
         met = met.drop("_key")
@@ -63,7 +81,11 @@ def near_self_pairs(
         & _same_band(f"x_{lat}", f"y_{lat}", radius))
     d = geo.haversine_m(f"x_{lat}", f"x_{lon}", f"y_{lat}", f"y_{lon}")
     met = keep_value(met.withColumn("_d", d), "distance", F.when(F.col("_d") <= radius, F.col("_d"))).drop("_d")
-    if fine is not None:  # only ids and points have met so far; the rows' other columns come back to the near pairs
+    if ids_only:
+        a, b = F.least(f"x_{id_col}", f"y_{id_col}"), F.greatest(f"x_{id_col}", f"y_{id_col}")
+        out = met.select(*on, a.alias(f"a_{id_col}"), b.alias(f"b_{id_col}"))
+        return out.distinct() if fine is not None else out
+    if fine is not None:  # the rows' other columns come back to the near pairs
         met = met.select(f"x_{id_col}", f"y_{id_col}", "distance").distinct()
         met = met.join(_prefixed(pts, "x_", on), f"x_{id_col}").join(_prefixed(pts, "y_", []).drop(*["y_" + c for c in on]), f"y_{id_col}")
     swap = F.col(f"x_{id_col}") > F.col(f"y_{id_col}")
