@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from placeloom.llm.common import cut_lineage, drop_step, text_of
 
 WINDOW = 13
-BLOCK = 8 << 20  # bytes of text in a block, unless one text alone has more
+BLOCK = 4 << 20  # bytes of text in a block, unless one text alone has more
 SLICE = 1 << 20  # windows of a slice
 ROWS, LOAD = 3, 4  # rows of a sketch, counters a window
 KEY = 28  # bits of a window's key in its slice
@@ -122,15 +122,21 @@ def estimate(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return least
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row at a time, so that a worker unpacks one block at a time."""
+    for b in batches:
+        for k in range(b.num_rows):
+            yield b.slice(k, 1).to_pylist()[0]
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """Rows of each slice; the input is in order of slices."""
     held: list[dict] = []
-    for b in batches:
-        for r in b.to_pylist():
-            if held and held[0]["slice"] != r["slice"]:
-                yield held[0]["slice"], held
-                held = []
-            held.append(r)
+    for r in _rows(batches):
+        if held and held[0]["slice"] != r["slice"]:
+            yield held[0]["slice"], held
+            held = []
+        held.append(r)
     if held:
         yield held[0]["slice"], held
 
@@ -210,15 +216,14 @@ def firsts(told: DataFrame, slices: int) -> DataFrame:
     """(block, first): for every hash of a block's suspects, in order, the smallest document that has the window."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                w = Windows(r["blob"])
-                both = w.keyed(slices)[0]
-                _, h, _, least = w.suspects(slices, _marks(r["maybe"] or [], _cut(both >> _U(KEY)), len(both)))
-                cuts = _cut((h[0] >> _U(32)) * _U(slices) >> _U(32))
-                yield pa.RecordBatch.from_pydict({
-                    "slice": pa.array([s for s, _, _ in cuts], pa.int32()), "block": pa.array([r["block"]] * len(cuts), pa.int64()),
-                    "hashes": pa.array([h[:, x:y].tobytes() for _, x, y in cuts], pa.binary()), "least": pa.array([_shut(least[x:y].tobytes()) for _, x, y in cuts], pa.binary())})
+        for r in _rows(batches):
+            w = Windows(r["blob"])
+            both = w.keyed(slices)[0]
+            _, h, _, least = w.suspects(slices, _marks(r["maybe"] or [], _cut(both >> _U(KEY)), len(both)))
+            cuts = _cut((h[0] >> _U(32)) * _U(slices) >> _U(32))
+            yield pa.RecordBatch.from_pydict({
+                "slice": pa.array([s for s, _, _ in cuts], pa.int32()), "block": pa.array([r["block"]] * len(cuts), pa.int64()),
+                "hashes": pa.array([h[:, x:y].tobytes() for _, x, y in cuts], pa.binary()), "least": pa.array([_shut(least[x:y].tobytes()) for _, x, y in cuts], pa.binary())})
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _slices(batches):
@@ -256,9 +261,8 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = B
     drop_step(maybe)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                yield _cleaned(r, slices)
+        for r in _rows(batches):
+            yield _cleaned(r, slices)
 
     return packed.select("block", "blob").join(first, "block", "left").mapInArrow(clean, "doc_id long, n_words long, n_removed long, kept string")
 
