@@ -64,12 +64,11 @@ def h6(t):
 
 
 @query("h7_similarity", uses="places_v cands_v", sql=f"""
-    WITH j AS (SELECT c.place_id, c.cand_no, {D.name_dedupe('p.name')} AS a, {D.name_dedupe('c.cand_name')} AS b FROM cands_v c JOIN places_v p ON p.id = c.place_id WHERE c.cand_no = 3 AND c.cand_name NOT LIKE '%停车场' AND c.cand_name <> '无关地点')
-    SELECT place_id, CAST(floor(({_sim('a', 'b')}) * 1000 + 0.5) AS BIGINT) AS milli FROM j""")
+    WITH j AS (SELECT c.place_id, c.cand_no, {D.name_dedupe('p.name')} AS a, {D.name_dedupe('c.cand_name')} AS b FROM cands_v c JOIN places_v p ON p.id = c.place_id)
+    SELECT place_id, cand_no, CAST(floor(({_sim('a', 'b')}) * 1000 + 0.5) AS BIGINT) AS milli FROM j""")
 def h7(t):
-    c = t("cands_v").where("cand_no = 3 and not endswith(cand_name, '停车场') and cand_name <> '无关地点'")
-    j = c.join(t("places_v").select(F.col("id").alias("place_id"), "name"), "place_id")
-    return j.select("place_id", F.floor(T.similarity(T.dedupe_key("name"), T.dedupe_key("cand_name")) * 1000 + 0.5).alias("milli"))
+    j = t("cands_v").join(t("places_v").select(F.col("id").alias("place_id"), "name"), "place_id")
+    return j.select("place_id", "cand_no", F.floor(T.similarity(T.dedupe_key("name"), T.dedupe_key("cand_name")) * 1000 + 0.5).alias("milli"))
 
 
 def _gcj():

@@ -62,10 +62,10 @@ def c2(t):
     return DUP.near_duplicate_audit(t("places_v"), t("photos_v"), reviewed_pairs(t))
 
 
-# every Han character of the generated names, mapped one by one to a Latin letter, so that the byte-wise
+# every Han character of the generated place and candidate names, mapped one by one to a Latin letter, so that the byte-wise
 # edit distance of the check engine counts characters
-_HAN = "前程新闸岳阳人民太湖共和长海瑞金石门殷行大学政府路机关党群书房第社区图馆街道少儿者食堂滨河公园绿地阅闲坊"
-_ABC = "".join(chr(c) for c in range(97, 123)) + "".join(chr(c) for c in range(65, 91)) + "!#$%()*+"
+_HAN = "前程新闸岳阳人民太湖共和长海瑞金石门殷行大学政府路机关党群书房第社区图馆街道少儿者食堂滨河公园绿地阅闲坊停车场无点邻里中心"
+_ABC = "".join(chr(c) for c in range(97, 123)) + "".join(chr(c) for c in range(65, 91)) + "!#$%()*+-./:;<=>?@[]^_`{|}~"
 
 
 def _sim(a, b):
@@ -97,14 +97,13 @@ def c3(t):
 
 @query("c4_radius_neighbours", uses="places_v", sql=f"""
     SELECT a.id AS target_id, b.id AS neighbour_id, {D.rnd(D.meters('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude'))} AS distance_m
-    FROM places_v a JOIN places_v b ON a.id <> b.id AND a.k % 10 = 1 AND b.category IN ('图书馆', '自然') AND NOT ({dict(D.issue_list())['excluded_place_type'].replace('name', 'b.name')})
+    FROM places_v a JOIN places_v b ON a.id <> b.id AND b.category IN ('图书馆', '自然') AND NOT ({dict(D.issue_list())['excluded_place_type'].replace('name', 'b.name')})
     WHERE {D.meters('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} <= 2000""")
 def c4(t):
-    """The neighbours of every tenth place: the tenth is the target list, the neighbours come from the whole table."""
     from placeloom.operators.select import by_categories
 
     cols = ["id", "latitude", "longitude"]
-    met = near_pairs(t("places_v").where("k % 10 = 1").select(*cols), by_categories(t("places_v"), ["图书馆", "自然"]).select(*cols), 2000.0)
+    met = near_pairs(t("places_v").select(*cols), by_categories(t("places_v"), ["图书馆", "自然"]).select(*cols), 2000.0)
     return met.where("l_id <> r_id").select(F.col("l_id").alias("target_id"), F.col("r_id").alias("neighbour_id"), geo.js_round(F.col("distance")).alias("distance_m"))
 
 

@@ -15,6 +15,7 @@ from placeloom.operators.grid import box_level, ordered_boxes
 from placeloom.operators.scale import skew_join
 from placeloom.session import cut_lineage
 
+CORNERS = ["south", "north", "west", "east"]
 DEPTH = 4  # levels a box is cut below the level of its own size
 
 
@@ -33,11 +34,11 @@ def _inside(lo: Column, hi: Column, width: Column) -> tuple[Column, Column]:
     return F.ceil(lo / width + slack).cast("long"), F.floor(hi / width - slack).cast("long") - 1
 
 
-def cut_boxes(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(whole, edges) of boxes(south, north, west, east, version, lv).
+def cut_boxes(boxes: DataFrame, named: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(whole, edges) of boxes(south, north, west, east, lv, *named).
 
-    whole(lv, y, x, version): the largest cells inside each box, the greatest version of each cell. edges: the cells that
-    a border crosses, DEPTH levels below the box's own level, with the box.
+    whole(lv, y, x, *named): the largest cells inside each box. edges(lv, y, x, corners, *named): the cells that a border
+    crosses, DEPTH levels below the box's own level.
     """
     per = boxes.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))).withColumn("own", F.col("lv") + F.col("j"))
     w, up = _width(F.col("own")), _width(F.col("own") - 1)
@@ -51,15 +52,15 @@ def cut_boxes(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
     parents = (F.col("y2") <= F.col("y3")) & (F.col("x2") <= F.col("x3"))
     taken = parents & F.col("y").between(F.col("y2"), F.col("y3"))  # the middle of this row belongs to larger cells
     xs = F.when(taken, F.concat(_run(F.col("x0"), F.col("x2") - 1), _run(F.col("x3") + 1, F.col("x1")))).otherwise(_run(F.col("x0"), F.col("x1")))
-    whole = rows.select(F.col("own").alias("lv"), "y", F.explode(xs).alias("x"), "version")
+    whole = rows.select(F.col("own").alias("lv"), "y", F.explode(xs).alias("x"), *named)
     leaf = per.where(F.col("j") == DEPTH)
     for n, (lo, hi) in names.items():
         leaf = leaf.withColumns({n + "4": F.floor(F.col(lo) / w).cast("long"), n + "5": F.floor(F.col(hi) / w).cast("long")})
     rows = leaf.withColumn("y", F.explode(_run(F.col("y4"), F.col("y5"))))
     middle = F.col("y").between(F.col("y0"), F.col("y1")) & (F.col("x0") <= F.col("x1"))
     xs = F.when(middle, F.concat(_run(F.col("x4"), F.col("x0") - 1), _run(F.col("x1") + 1, F.col("x5")))).otherwise(_run(F.col("x4"), F.col("x5")))
-    edges = rows.select(F.col("own").alias("lv"), "y", F.explode(xs).alias("x"), "south", "north", "west", "east", "version")
-    return whole.groupBy("lv", "y", "x").agg(F.max("version").alias("version")), edges
+    edges = rows.select(F.col("own").alias("lv"), "y", F.explode(xs).alias("x"), *CORNERS, *named)
+    return whole, edges
 
 
 def _above(cells: DataFrame, level: Column | int, levels: list[int]) -> DataFrame:
@@ -71,6 +72,13 @@ def _above(cells: DataFrame, level: Column | int, levels: list[int]) -> DataFram
     return out
 
 
+def levelled(boxes: DataFrame) -> tuple[DataFrame, list[int], list[int]]:
+    """Stored boxes with the level `lv` of their size, all levels of their cells, and those of their edge cells."""
+    boxes = cut_lineage(boxes.withColumn("lv", box_level(*[F.col(c) for c in CORNERS])))
+    own = sorted(r[0] for r in boxes.select("lv").distinct().collect()) or [0]  # at most 21 numbers
+    return boxes, sorted({v + j for v in own for j in range(DEPTH + 1)}), [v + DEPTH for v in own]
+
+
 def covers(points: DataFrame, boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(points, edges): points gain `cell` and `cover`, the greatest version whose box holds the point's whole cell;
     edges(cell, south, north, west, east, version) are the boxes to test point by point, those newer than the cell's cover only.
@@ -79,13 +87,10 @@ def covers(points: DataFrame, boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
     position has no cell. Of equal boxes the newest is taken.
     """
     boxes = ordered_boxes(boxes).groupBy("south", "north", "west", "east").agg(F.max("version").alias("version"))
-    boxes = cut_lineage(boxes.withColumn("lv", box_level(F.col("south"), F.col("north"), F.col("west"), F.col("east"))))
-    own = sorted(r[0] for r in boxes.select("lv").distinct().collect())  # at most 21 numbers
-    leaves = [v + DEPTH for v in own] or [DEPTH]
-    levels = sorted({v + j for v in own for j in range(DEPTH + 1)}) or [0]
+    boxes, levels, leaves = levelled(boxes)
     finest = max(leaves)
-    whole, edges = cut_boxes(boxes)
-    whole, edges = cut_lineage(whole), edges
+    whole, edges = cut_boxes(boxes, ["version"])
+    whole = cut_lineage(whole.groupBy("lv", "y", "x").agg(F.max("version").alias("version")))
     over = whole.select(F.col("lv").alias("_to"), F.col("y").alias("_cy"), F.col("x").alias("_cx"), F.col("version").alias("cover"))
 
     # an edge that a newer box covers in the whole cell says nothing there
