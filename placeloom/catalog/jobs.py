@@ -95,7 +95,7 @@ def k2(t):
       CASE WHEN bp IS NULL OR issues <> '' THEN 'delete' WHEN latitude <> lat0 OR longitude <> lon0 THEN 'update' END AS action,
       CASE WHEN bp IS NULL OR issues <> '' THEN '' WHEN latitude <> lat0 OR longitude <> lon0 THEN concat_ws(',', CASE WHEN latitude <> lat0 THEN 'latitude' END, CASE WHEN longitude <> lon0 THEN 'longitude' END) END AS changed FROM g""")
 def k3(t):
-    gate, actions = J.verify_candidates(t("places_v"), t("cands_v"), t("places_v"), FIELDS)
+    gate, actions = J.verify_candidates(t("places_v"), t("cands_v"), t("places_v"), FIELDS, duplicates=True)
     return gate.join(actions.select("id", "action", "changed"), "id", "left")
 
 

@@ -103,10 +103,6 @@ def cross_place_content(photos: DataFrame) -> DataFrame:
     return g.where("lo <> hi").select("digest")
 
 
-def _similar(ahash: Column, bhash: Column, p_limit: int | None, d_limit: int) -> Column:
-    return F.bit_count(ahash.bitwiseXOR(bhash)) <= d_limit
-
-
 def pick_gallery(photos: DataFrame, max_per_place: int = 5, d_limit: int = 8) -> DataFrame:
     """Greedy gallery with a reason per photo.
 
@@ -248,7 +244,3 @@ def best_note_images(images: DataFrame, k: int = 3, first_urls: int = 12) -> Dat
     good = good.withColumn("score", short + F.col("entropy") * 100 - F.when(F.col("n") == 1, 180).otherwise(0))
     v = Window.partitionBy("note_id").orderBy(F.desc("score"), "url")
     return good.withColumn("rank", F.row_number().over(v)).where(F.col("rank") <= k)
-
-
-def renumber_photos(photos: DataFrame) -> DataFrame:
-    return rank_within(photos, ["place_id"], ["sort_order", "photo_id"], "_p").withColumn("new_order", F.col("_p") - 1).drop("_p")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from placeloom.functions import rules, text as T
+from placeloom.operators.scale import rank_within, skew_join
 
 
 def best_accepted(scored: DataFrame) -> DataFrame:
@@ -30,11 +31,20 @@ def strict_key(name) -> Column:
     return T.sub(F.lower(T.text(name)), (r"""[\s·•，,。.：:；;／/\\_\-—“”"'’]""", ""))
 
 
+def approved_duplicates(approved: DataFrame) -> DataFrame:
+    """(id, name, duplicate_of, original_id): approved records whose category, strict name and address an approved record
+    with a smaller id has; one minimum a key, so a key of very many records is never gathered."""
+    keyed = approved.select("id", "name", "category", strict_key("name").alias("n"), T.normalize_address("address").alias("a"))
+    first = keyed.groupBy("category", "n", "a").agg(F.min(F.struct("id", "name")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    met = skew_join(keyed, first.select("category", "n", "a", "f"), ["category", "n", "a"]).where(F.col("id") != F.col("f.id"))
+    return met.select("id", "name", F.col("f.name").alias("duplicate_of"), F.col("f.id").alias("original_id"))
+
+
 def assert_no_exact_duplicates(approved: DataFrame) -> None:
     """Stop the run when two approved records share category, strict name and address."""
-    g = approved.groupBy("category", strict_key("name").alias("n"), T.normalize_address("address").alias("a")).count().where("count > 1")
-    if not g.isEmpty():
-        raise ValueError("approved records contain exact duplicates")
+    n = approved_duplicates(approved).count()
+    if n:
+        raise ValueError(f"{n} approved records are exact duplicates")
 
 
 def apply_selection(notes: DataFrame, overlay: DataFrame) -> DataFrame:
@@ -44,6 +54,17 @@ def apply_selection(notes: DataFrame, overlay: DataFrame) -> DataFrame:
     return j.select("note_id", F.posexplode(picked).alias("i", "url")).select("note_id", (F.col("i") + 1).alias("pick"), "url")
 
 
-def apply_rejections(rows: DataFrame, overlay: DataFrame, key: str = "photo_id") -> DataFrame:
-    """Rows with the reason of a manual rejection, '' for kept rows."""
-    return rows.join(overlay.select(key, "reason"), key, "left").withColumn("reason", F.coalesce("reason", F.lit("")))
+def apply_rejections(photos: DataFrame, overlay: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(removed, renumbered, missing) of a list of rejected photos(photo_id, reason).
+
+    removed: the photos on the list, with the reason. renumbered(place_id, photo_id, sort_order, new_order): all photos
+    that the touched places keep, numbered anew from 0 by (sort_order, photo_id). missing: listed ids that no photo has.
+    A photo listed twice is removed once, with the smallest reason.
+    """
+    listed = overlay.groupBy("photo_id").agg(F.min("reason").alias("reason"))
+    removed = photos.join(listed, "photo_id")
+    touched = removed.select("place_id").distinct()
+    kept = skew_join(photos.join(listed, "photo_id", "left_anti"), touched, ["place_id"], "left_semi")
+    order = rank_within(kept.select("place_id", "photo_id", "sort_order"), ["place_id"], ["sort_order", "photo_id"], "n")
+    renumbered = order.select("place_id", "photo_id", "sort_order", (F.col("n") - 1).cast("int").alias("new_order"))
+    return removed, renumbered, listed.join(photos, "photo_id", "left_anti")

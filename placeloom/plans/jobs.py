@@ -47,8 +47,13 @@ def resolve_duplicates(places: DataFrame, photos: DataFrame) -> Resolution:
     return Resolution(edges, groups, merged, moved, removed)
 
 
-def verify_candidates(places: DataFrame, cands: DataFrame, current: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(gate, actions): score map candidates, take the best accepted one, audit the moved record, diff with what is stored."""
+def verify_candidates(
+    places: DataFrame, cands: DataFrame, current: DataFrame, fields: list[str], duplicates: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(gate, actions): score map candidates, take the best accepted one, audit the moved record, diff with what is stored.
+
+    Two approved records with one category, strict name and address end the run, unless duplicates are allowed.
+    """
     p = places.select(F.col("id").alias("place_id"), "name", "category", "address", "latitude", "longitude")
     scored = M.score_candidates(skew_join(cands, p, ["place_id"]))
     best = GT.best_accepted(scored)
@@ -58,6 +63,8 @@ def verify_candidates(places: DataFrame, cands: DataFrame, current: DataFrame, f
         "longitude", F.coalesce("new_lon", "longitude"))
     gate = cut_lineage(GT.run_gate(rows.withColumn("map_status", F.lit("approved")).withColumn("has_source", F.lit(True))))
     approved = gate.where("stage = 'approved'")
+    if not duplicates:
+        GT.assert_no_exact_duplicates(approved)
     return gate.select("id", "stage", "reason"), sync.desired_state_diff(current, approved, fields)
 
 
@@ -135,10 +142,3 @@ def default_places(viewports: DataFrame, places: DataFrame, categories: list[str
     rest = nearest(mid.join(best.select("vid"), "vid", "left_anti"), mine)
     return inside.unionByName(rest.select("vid", F.col("place_id").alias("id"), F.lit(False).alias("in_view")))
 
-
-def newest_evidence(notes: DataFrame, k: int = 2) -> DataFrame:
-    """Newest k accepted notes per place since the cutoff."""
-    recent = notes.where(F.timestamp_seconds("published") >= F.to_timestamp(F.lit(dims.NOTE_CUTOFF)))
-    m = EV.body_match("place_name", "address", "title", "body")
-    return top_k(recent.withColumns(m).where("accepted"), ["place_id"], [F.desc("published"), F.asc("note_id")], k, "rank")
-
