@@ -297,10 +297,13 @@ def f2(t):
 
 
 @query("f3_stable_order", uses="places_v", sql="""
-    SELECT id, name FROM (SELECT id, name, category, CASE WHEN k % 2 = 0 THEN 'new_candidate' ELSE 'possible_duplicate' END AS status FROM places_v)""")
+    SELECT id, name, row_number() OVER (ORDER BY status, category, name COLLATE zh, id) AS position
+    FROM (SELECT id, name, category, CASE WHEN k % 2 = 0 THEN 'new_candidate' ELSE 'possible_duplicate' END AS status FROM places_v)""")
 def f3(t):
+    """Report order: names in Chinese order, positions by ranges of the order, not in one task."""
     status = F.when(F.col("k") % 2 == 0, "new_candidate").otherwise("possible_duplicate")
-    return t("places_v").orderBy(status, "category", "name", "id").select("id", "name")
+    p = t("places_v").select("id", "name", "category", status.alias("status"))
+    return rank_within(p, [], ["status", "category", F.collate("name", "zh"), "id"], "position").select("id", "name", "position")
 
 
 @query("f4_pair_listing", uses="places_v", sql=f"""
