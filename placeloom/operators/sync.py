@@ -64,7 +64,8 @@ def apply_snapshots(base: DataFrame, snapshots: DataFrame, snapshot_rows: DataFr
     snapshots(seq, complete, south, north, west, east); snapshot_rows(seq, id, ...base columns).
     A row written at version v is gone when a complete snapshot of a later version covers it; of the rest the
     last write per id stays. Base rows carry version 0 unless base has its own `seq`, as an earlier replay's result has: a
-    replay may start from it with the later snapshots only.
+    replay may start from it with the later snapshots only. A view keeps one write of an id, so after it an older write
+    elsewhere of a place that has moved no longer comes back when the newer one is wiped; otherwise both ways are equal.
     """
     cols = [c for c in base.columns if c != "seq"]
     seq = F.col("seq").cast("long") if "seq" in base.columns else F.lit(0).cast("long")

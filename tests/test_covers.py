@@ -71,18 +71,22 @@ def test_deep_stacks_meet_few_rows(spark):
 
 def test_replay_goes_on_from_an_earlier_replay(spark):
     rng = random.Random(8)
-    base = spark.createDataFrame([(f"p{i}", rng.uniform(30, 32), rng.uniform(120, 122), f"n{i}") for i in range(300)], "id string, latitude double, longitude double, name string")
+    at = [(rng.uniform(30, 32), rng.uniform(120, 122)) for _ in range(330)]  # places that stay where they are
+    base = spark.createDataFrame([(f"p{i}", *at[i], f"n{i}") for i in range(300)], "id string, latitude double, longitude double, name string")
     snaps, rows = [], []
     for seq in range(1, 41):
         s, w = rng.uniform(30, 31.5), rng.uniform(120, 121.5)
         snaps.append((seq, seq % 3 > 0, s, s + rng.random(), w, w + rng.random()))
-        rows += [(f"p{rng.randrange(330)}", s + 0.1, w + 0.1, f"at{seq}", seq) for _ in range(5)]
+        rows += [(f"p{i}", *at[i], f"at{seq}", seq) for i in rng.sample(range(330), 5)]
     snaps = spark.createDataFrame(snaps, "seq long, complete boolean, south double, north double, west double, east double")
-    rows = spark.createDataFrame(rows, base.schema.simpleString()[7:-1].replace(":", " ") + ", seq long").dropDuplicates(["id", "seq"])
+    rows = spark.createDataFrame(rows, base.schema.simpleString()[7:-1].replace(":", " ") + ", seq long")
     at_once = {tuple(r) for r in sync.apply_snapshots(base, snaps, rows).select("id", "name", "seq").collect()}
     half = sync.apply_snapshots(base, snaps.where("seq <= 20"), rows.where("seq <= 20"))
     later = sync.apply_snapshots(half, snaps.where("seq > 20"), rows.where("seq > 20"))
-    assert {tuple(r) for r in later.select("id", "name", "seq").collect()} == at_once
+    assert {tuple(r) for r in later.select("id", "name", "seq").collect()} == at_once and at_once
+    moved = spark.createDataFrame([("p0", 60.0, 60.0, "away", 1)], rows.schema)
+    wipe = spark.createDataFrame([(2, True, 59.0, 61.0, 59.0, 61.0)], snaps.schema)
+    assert {r.name for r in sync.apply_snapshots(base.where("id = 'p0'"), wipe, moved).collect()} == {"n0"}  # the older write elsewhere comes back
 
 
 def test_viewport_pages_equal_sorted_lists(spark):
