@@ -12,6 +12,7 @@ from placeloom.operators.graph import keep_first
 from placeloom.operators.scale import rank_within, skew_join
 from placeloom.session import cut_lineage, drop_step
 
+SMALL_KEY = 64  # distinct hashes of a key up to which all of them meet
 
 def top_label(labels: Column, names: list[str]) -> Column:
     """Largest confidence among the named labels of a map; 0 when none is present."""
@@ -178,21 +179,39 @@ def looks_same(prefix: str, d_limit: int = 8, p_limit: int = 10, corr: float = 0
             | (F.bit_count(F.col("phash").bitwiseXOR(other("phash"))) <= p_limit) | (mean >= corr))
 
 
-def close_hashes(rows: DataFrame, limit: int = 7, key: str = "place_id", hash_col: str = "dhash") -> DataFrame:
+def close_hashes(rows: DataFrame, limit: int = 7, key: str = "place_id", hash_col: str = "dhash", small: int = SMALL_KEY) -> DataFrame:
     """Pairs of distinct hash values per key within `limit` differing bits: (key, ha, hb), ha < hb.
 
-    64 bits in limit + 1 bands: two values within the limit agree in at least one whole band. Equal values are
-    merged first, so a group of exact copies is a single value here.
+    The 64 bits are cut into limit // 2 + 1 bands (two at least). Two values within the limit differ by one bit at most in
+    some band, so a value is filed under each of its bands and asks with each band as it is and with any one of its
+    bits flipped. At 7 bits those are 4 bands of 65 536 values and 68 askings; a pair is given out by the first band
+    where it meets, so none comes twice. Keys of up to `small` values need fewer pairs than askings and all their
+    values meet; both ways give the same rows. Equal values are merged first: a group of exact copies is one value here.
+    NULL keys and NULL hashes are in no pair.
     """
-    bands, width = limit + 1, -(-64 // (limit + 1))
-    values = rows.select(key, F.col(hash_col).alias("h")).distinct()
-    band = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v"))
-        for i in range(bands)])
-    cells = values.withColumn("b", F.explode(band)).select(key, "h", "b.i", "b.v")
-    met = skew_join(cells.withColumnRenamed("h", "ha"), cells.withColumnRenamed("h", "hb"), [key, "i", "v"])
-    close = met.where((F.col("ha") < F.col("hb")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= limit))
-    return close.select(key, "ha", "hb").distinct()
+    n = max(limit // 2 + 1, 2)
+    width = -(-64 // n)
+    widths = [min(width, 64 - i * width) for i in range(n)]
+    values = cut_lineage(rows.select(key, F.col(hash_col).alias("h")).where(F.col("h").isNotNull()).distinct())
+    size = values.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    sized = skew_join(values, size, [key])
+    few, many = sized.where(F.col("n") <= small).select(key, "h"), sized.where(F.col("n") > small).select(key, "h")
+    differ = F.col("ha").bitwiseXOR(F.col("hb"))
+    close = (F.col("ha") < F.col("hb")) & (F.bit_count(differ) <= limit)
+    plain = few.withColumnRenamed("h", "ha").join(few.withColumnRenamed("h", "hb"), key).where(close)
+
+    def band(h, i):
+        return F.shiftrightunsigned(h, i * width).bitwiseAND(F.lit((1 << widths[i]) - 1))
+
+    filed = F.array(*[F.struct(F.lit(i).alias("i"), band("h", i).alias("v")) for i in range(n)])
+    asked = F.array(*[
+        F.struct(F.lit(i).alias("i"), band("h", i).bitwiseXOR(F.lit(flip).cast("long")).alias("v"))
+        for i in range(n) for flip in (0, *(1 << b for b in range(widths[i])))])
+    cells = many.withColumn("b", F.explode(filed)).select(key, F.col("h").alias("hb"), "b.i", "b.v")
+    asks = many.withColumn("b", F.explode(asked)).select(key, F.col("h").alias("ha"), "b.i", "b.v")
+    first = F.coalesce(*[F.when(F.bit_count(band(differ, i)) <= 1, i) for i in range(n)])
+    met = skew_join(asks, cells, [key, "i", "v"]).where(close & (F.col("i") == first))
+    return plain.unionByName(met.select(key, "ha", "hb"))
 
 
 def thin_near_copies(rows: DataFrame, order: Column, limit: int = 7, key: str = "place_id") -> DataFrame:
