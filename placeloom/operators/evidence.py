@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from placeloom import dims
 from placeloom.functions import text as T
+from placeloom.operators.grams import bit_table, grams_in
 from placeloom.operators.scale import first_per_key, skew_join, spread, top_k
 from placeloom.session import cut_lineage
 
 GRAM = 4
+SIZES = 4  # lengths of runs: GRAM, twice, four and eight times as many letters
 
 
 def page_lines(pages: DataFrame, body: str = "text") -> DataFrame:
@@ -38,22 +40,22 @@ def with_context(pages: DataFrame, body: str = "text") -> DataFrame:
 def mentions(pages: DataFrame, aliases: DataFrame, gram: int = GRAM) -> DataFrame:
     """(page_id, place_id): pages(page_id, key) that contain an alias(place_id, alias) of at least `gram` letters.
 
-    An alias occurs only where each of its n-grams occurs, so any one of them may serve as its meeting key. The one
-    that is rarest in a sample of the pages is taken (the sample only picks the key, it leaves out no page), pages
-    are reduced to these grams in one pass, and every meeting is tested on the whole page text.
+    An alias occurs only where each of its n-grams occurs, so any one of them may serve as its meeting key: runs of 4, 8,
+    16 or 32 letters, the longest size that fits, since long runs seldom meet in vain. The one that is rarest in a sample
+    of the pages is taken (the sample only picks the key, it leaves out no page). Pages are scanned against a bit table
+    of these runs, so a page without one gives no rows, and every meeting is tested on the whole page text. NULL keys
+    and aliases meet nothing.
     """
     names = aliases.where(F.length("alias") >= gram).select("alias").distinct()
-    alias_grams = cut_lineage(names.select("alias", F.explode(F.array_distinct(T.ngrams("alias", gram))).alias("gram")))
-    long = pages.where(F.length("key") >= gram)
+    alias_grams = cut_lineage(grams_in(names.withColumn("key", F.col("alias")), "alias", "key", gram, SIZES, longest=True))
     # the lowest twentieth of the hash range: unlike sample(), this filter sinks below the text normalisation
-    seen = long.where(F.xxhash64("page_id") < F.lit(int(-0.9 * 2**63))).select(F.explode(F.array_distinct(T.ngrams("key", gram))).alias("gram"))
-    df = seen.join(alias_grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    some = spread(pages.where(F.xxhash64("page_id") < F.lit(int(-0.9 * 2**63))))
+    df = grams_in(some, "page_id", "key", gram, SIZES, bit_table(alias_grams)).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rare = alias_grams.join(df, "gram", "left").groupBy("alias").agg(
         F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("gram"))).alias("m"))
     probe = cut_lineage(rare.select("alias", F.col("m.gram").alias("gram")))
-    index = spread(long).select("page_id", F.explode(T.ngrams("key", gram)).alias("gram"))
-    index = cut_lineage(index.join(probe.select("gram").distinct(), "gram", "left_semi").distinct())
-    met = cut_lineage(skew_join(index, probe, ["gram"]).select("page_id", "alias"))
+    index = grams_in(spread(pages), "page_id", "key", gram, SIZES, bit_table(probe))
+    met = cut_lineage(skew_join(index, probe, ["gram"]).select("page_id", "alias").distinct())
     # the whole text is needed, and normalised again, only for pages that met an alias
     asked = pages.select("page_id", "key").join(met.select("page_id").distinct(), "page_id", "left_semi")
     hit = skew_join(met, asked, ["page_id"]).where(F.col("key").contains(F.col("alias"))).select("page_id", "alias")

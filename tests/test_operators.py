@@ -212,6 +212,7 @@ def test_mentions_equal_brute_force(spark, hot):
     word = lambda k: "".join(r.choice("abc") for _ in range(k))
     pages = [(i, word(r.randrange(3, 60))) for i in range(80)]
     aliases = [(f"p{i}", word(r.randrange(3, 7))) for i in range(40)]
+    aliases += [(f"l{i}", pages[i][1][2:2 + 3 * i]) for i in range(2, 20)]  # of every size of run
     got = {(x.page_id, x.place_id) for x in EV.mentions(spark.createDataFrame(pages, "page_id int, key string"), spark.createDataFrame(aliases, "place_id string, alias string")).collect()}
     assert got == {(p[0], a[0]) for p in pages for a in aliases if len(a[1]) >= 4 and a[1] in p[1]} and got
 
