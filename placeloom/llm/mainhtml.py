@@ -1,17 +1,22 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-Tokens are a page's elements, each named by its path of containers (tag with its class and role words). A token's
-occurrence vector says how often it stands on each page of its host. Tokens that share a vector form a class. The root class
-has the vector of <html>, once on every page: it is the host's page template. The other classes
-(paragraphs, list items, optional boxes) nest inside its slots: a token belongs to the deepest root-class token on its
-path. One odd page does not break a template: a token that stands exactly once on over half of the host's pages with any
-html counts as root too, and pages without html are no pages of the host. Vectors are compared by a sum of page hashes, so a host's vectors are never gathered, however many pages it has.
-
-A host's slots are then told apart: template slots under menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments are never content; an article or main slot is content where the template has one; else every
-slot whose text differs from page to page and is not mostly links. All that a page has in its host's content slots is
-given out, whole. A page whose host has no template (too few pages) or that lacks the slots is decided by its own
-elements in the same order.
+Tokens are a page's elements. A token's role is its path of containers, each named by tag, class and role words and by its number
+among the equally named children of its container, so that equal names in different places are different roles. A role's occurrence
+vector says on which of its host's distinct pages it stands. Roles with equal vectors form a class. A class is part of a
+template if it stands on at least `min_pages` pages and `SUPPORT` of the host's pages: the root class (on every page) is what all
+pages share, smaller ones are the templates of a part of the pages, or optional boxes. Vectors are compared by a sum of page hashes, so they
+are never gathered, however many pages a host has.
+
+Classes nest by their paths. A class is valid under a template element if its members there come in the same order on every page that
+has them; members that do not are no template, and their text belongs to the element around them. Each text belongs to the deepest
+template element on its path, its slot. A slot whose text is the same on all pages is template text; what differs is content, unless it is
+mostly links.
+
+What no vector can tell is told by names: parts under menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
+and reader comments are never content, and where a page's template has article or main slots, those are the content, whole. Names count
+only if all their parts say so (`share-bar` does, `share-ready` does not), never on html, body or main elements, and few on articles.
+Pages whose host has fewer than `min_pages` distinct pages, or that have no text in any slot, are decided by their own elements in that order. An article that is the same on all pages is template if
+another one differs.
 """
 
 from __future__ import annotations
@@ -26,8 +31,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from placeloom.llm.common import cut_lineage, text_batches
 
-MIN_PAGES = 3  # a template is deduced from at least so many pages
-MAX_DEPTH = 32  # containers that a token's path names
+MIN_PAGES = 3  # a template class, and a text that is template, stands on at least so many pages
+SUPPORT = 0.05  # and a class on this share of the host's pages, which bounds a host's template by the size of its pages
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
@@ -48,36 +53,45 @@ BOILERPLATE_WORDS = frozenset(
     "notice notices cookie cookies consent gdpr popup modal newsletter subscribe subscription share sharing social related recommended recommendations "
     "comment comments reply replies respond discussion disqus footer pagination pager login signup search widget".split())
 HEADER_WORDS = frozenset("header masthead topbar toolbar".split())
+# words that say nothing in a compound name such as post-comments or ad-slot
+HOLDER_WORDS = frozenset(
+    "area articles bar block body bottom box button buttons col column container content footer frame global group header holder inner item items js left link links list "
+    "main message outer page panel post posts primary right row secondary section side site slot stories text top unit wrap wrapper".split())
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_WORDS = frozenset(("articlebody",))
+NEVER_NAMED = frozenset(("html", "body", "main"))  # elements that names do not make boilerplate
+ARTICLE_WORDS = frozenset("ad ads advert comment comments related reply replies teaser teasers".split())  # names of articles that are not the page's
 
 
-def _signature(tag: str, attributes: str) -> str:
-    """Tag with its class, role and itemprop words, numbers left out."""
-    words: list[str] = []
-    if "=" in attributes:
-        for m in _NAMES.finditer(attributes):
-            if m[1].lower() != "id":
-                words += _WORDS.findall((m[2] or m[3] or m[4] or "").lower())
-            elif found := [w for w in _WORDS.findall((m[2] or m[3] or m[4] or "").lower()) if w in BOILERPLATE_WORDS or w in HEADER_WORDS]:
-                words += found
-    return ".".join([tag, *dict.fromkeys(words)])
+def _says(name: str, words: frozenset[str]) -> bool:
+    """Whether a class name consists of such words, and others that say nothing beside them."""
+    parts = _WORDS.findall(name)
+    return any(w in words for w in parts) and all(w in words or w in HOLDER_WORDS or w in BOILERPLATE_WORDS for w in parts)
 
 
 class _Box:
-    __slots__ = ("tag", "path", "depth", "main", "junk")
-
-    def __init__(self, up: "_Box | None", tag: str, signature: str):
-        words = signature.split(".")[1:]
-        self.tag = tag
-        self.depth = up.depth + 1 if up else 1
+    __slots__ = ("tag", "role", "up", "kids", "main", "junk", "form", "slot")  # main: role of the outermost article or main element around
+
+    def __init__(self, up: "_Box | None", tag: str, attributes: str):
+        self.tag, self.up, self.kids, self.slot = tag, up, {}, None
+        words, names = [], []
+        if "=" in attributes:
+            for m in _NAMES.finditer(attributes):
+                value = (m[2] or m[3] or m[4] or "").lower()
+                names += value.split()
+                if m[1].lower() != "id":  # ids are often a page's own
+                    words += _WORDS.findall(value)
+        signature = ".".join([tag, *dict.fromkeys(words)])
         if up is None:
-            self.path = signature
-        else:  # what is nested deeper shares its ancestor's name
-            self.path = f"{up.path}>{signature}" if self.depth <= MAX_DEPTH else up.path
-        self.main = up is not None and up.main or tag in MAIN_TAGS or any(w in MAIN_WORDS for w in words)
-        header = (tag == "header" or any(w in HEADER_WORDS for w in words)) and not self.main
-        self.junk = up is not None and up.junk or tag in BOILERPLATE_TAGS or header or any(w in BOILERPLATE_WORDS for w in words)
+            self.role = 0
+        else:
+            number = up.kids[signature] = up.kids.get(signature, -1) + 1
+            self.role = xxhash.xxh64_intdigest(f"{up.role}>{signature}>{number}".encode("utf-8", "surrogatepass")) >> 1
+        self.main = up and up.main or (self.role if tag in MAIN_TAGS or any(w in MAIN_WORDS for w in words) else None)
+        named, parts = tag not in NEVER_NAMED, ARTICLE_WORDS if tag == "article" else BOILERPLATE_WORDS
+        header = (tag == "header" or named and any(_says(n, HEADER_WORDS) for n in names)) and not self.main
+        self.junk = up is not None and up.junk or tag in BOILERPLATE_TAGS or header or named and any(_says(n, parts) for n in names)
+        self.form = up is not None and up.form or tag == "form"
 
 
 def walk(html: str) -> Iterator[tuple[str, _Box, str, bool]]:
@@ -86,8 +100,9 @@ def walk(html: str) -> Iterator[tuple[str, _Box, str, bool]]:
     Boxes are containers; paragraphs, headings, list items and table parts only break the text, inline elements do nothing.
     End tags without a start are passed over, and what stays open is closed with its container.
     """
-    root = _Box(None, "#", "#")
+    root = _Box(None, "#", "")
     stack, links, at = [root], 0, 0
+    yield "open", root, "", False
     for m in _TOKEN.finditer(html):
         if m.start() > at:
             yield "text", stack[-1], html[at:m.start()], links > 0
@@ -114,7 +129,7 @@ def walk(html: str) -> Iterator[tuple[str, _Box, str, bool]]:
         else:
             links = 0
             yield "break", stack[-1], "", False
-            box = _Box(stack[-1], tag, _signature(tag, m[4] or m[7] or ""))
+            box = _Box(stack[-1], tag, m[4] or m[7] or "")
             yield "open", box, "", False
             if not (m[4] or m[7] or "").endswith("/"):
                 stack.append(box)
@@ -122,8 +137,17 @@ def walk(html: str) -> Iterator[tuple[str, _Box, str, bool]]:
         yield "text", stack[-1], html[at:], links > 0
 
 
-def extract(html: str, slots: frozenset[str], others: frozenset[str] = frozenset()) -> str:
-    """Blocks of the page's content, joined by line ends; what is nested in a slot of `others` is that slot's."""
+def _events(html: str, template) -> Iterator[tuple[str, _Box, str, bool]]:
+    """Events of a page whose boxes know their slot, the deepest role of the template on their path."""
+    for event in walk(html):
+        box = event[1]
+        if event[0] == "open":
+            box.slot = box.role if box.role in template else box.up.slot if box.up else None
+        yield event
+
+
+def extract(html: str, template: dict[int, int]) -> str:
+    """Blocks of the page's content, joined by line ends; `template` says of each role what its slot is: MAIN, SAME, CONTENT or OTHER."""
 
     def blocks(wanted) -> list[str]:
         out, now = [], []
@@ -137,93 +161,102 @@ def extract(html: str, slots: frozenset[str], others: frozenset[str] = frozenset
         out.append("".join(now))
         return [t for t in (" ".join(entities.unescape(b).split()) for b in out) if t]
 
-    events = list(walk(html))
-    if slots:
-        inside: dict[str, bool] = {}
+    events = list(_events(html, template))
+    tries = [lambda b: b.main and not b.junk, lambda b: not b.junk, lambda b: b.form and not _junk_without_form(b)]
+    if template:
+        tries = [lambda b: b.main and template.get(b.slot) != SAME and not b.junk, lambda b: template.get(b.slot) == CONTENT and not b.junk, *tries]
+    return "\n".join(next(filter(None, map(blocks, tries)), []))
+
+
+def _junk_without_form(box: _Box) -> bool:
+    """Whether the box is boilerplate for another reason than a form that holds it: a page may stand in one form as a whole."""
+    while box.up and box.junk:
+        if box.tag != "form" and not box.up.junk:
+            return True
+        if box.tag in BOILERPLATE_TAGS and box.tag != "form":
+            return True
+        box = box.up
+    return False
+
+
+OTHER, CONTENT, MAIN, SAME = 0, 1, 2, 3  # SAME: in an article or main element that is alike on all pages
 
-        def in_slot(box: _Box) -> bool:
-            if box.path not in inside:
-                parts = box.path.split(">")
-                ups = (">".join(parts[:i]) for i in range(len(parts), 0, -1))
-                inside[box.path] = next((up in slots for up in ups if up in slots or up in others), False)
-            return inside[box.path] and not box.junk
 
-        if found := blocks(in_slot):
-            return "\n".join(found)
-    return "\n".join(blocks(lambda b: b.main and not b.junk) or blocks(lambda b: not b.junk))
+def _page(html: str) -> int:
+    return xxhash.xxh64_intdigest(html.encode("utf-8", "surrogatepass"), 1) >> 1
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums for each host and path of a batch: occurrence vector, text inside and outside of links, equal texts or not."""
+def _rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema, of) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sums: dict[tuple[str, str], list] = {}
-        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            if not html or html.isspace():
-                continue
-            page = xxhash.xxh64_intdigest(html.encode("utf-8", "surrogatepass"), 1)
-            seen: dict[str, list] = {"#": [1, 0, 0, [], None]}
-            for kind, box, raw, link in walk(html):
-                s = seen.get(box.path)
-                if s is None:
-                    s = seen[box.path] = [0, 0, 0, [], box]
-                if kind == "open":
-                    s[0] += 1
-                    s[4] = box
-                elif kind == "text" and not raw.isspace():
-                    s[1 + link] += len(raw)
-                    s[3].append(raw)
-            for path, (n, plain, linked, texts, box) in seen.items():
-                t = sums.setdefault((host, path), [0, 0, 0, 0, 0, None, None, bool(box and box.main), bool(box and box.junk), 0])
-                h = xxhash.xxh64_intdigest("".join(texts).encode("utf-8", "surrogatepass")) >> 1
-                t[0] += 1
-                t[1] += n
-                t[2] = (t[2] + page * n) & (2**62 - 1)
-                t[9] += n == 1
-                t[3] += plain
-                t[4] += linked
-                t[5], t[6] = min(h, t[5] if t[5] is not None else h), max(h, t[6] if t[6] is not None else h)
-        rows = [(*k, *v) for k, v in sums.items()]
-        names = ["host", "path", "pages", "total", "vector", "plain", "linked", "lo", "hi", "main", "junk", "once"]
-        types = [pa.string(), pa.string()] + [pa.int64()] * 7 + [pa.bool_()] * 2 + [pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+        rows = [r for row in batch.to_pylist() if row["html"] and not row["html"].isspace() for r in of(row)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
 def token_classes(pages: DataFrame) -> DataFrame:
-    """(host, path, klass, root, ...) of pages(host, html): each token with its equivalence class among the host's pages."""
-    p = text_batches(pages).mapInArrow(
-        _profile, "host string, path string, pages long, total long, vector long, plain long, linked long, lo long, hi long, main boolean, junk boolean, once long")
-    t = p.groupBy("host", "path").agg(
-        F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.sum("plain").alias("plain"),
-        F.sum("linked").alias("linked"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("main").alias("main"), F.max("junk").alias("junk"), F.sum("once").alias("once"))
-    t = t.withColumn("vector", (F.col("vector") % F.lit(2**62).cast("decimal(38,0)")).cast("long"))
-    root = t.where("path = '#'").select("host", F.col("pages").alias("n"))
-    t = t.join(root, "host")
-    same = 2 * F.col("once") > F.col("n")
-    return t.select("host", "path", F.xxhash64("pages", "total", "vector").alias("klass"), same.alias("root"), "n", "pages", "total", "plain", "linked", "lo", "hi", "main", "junk")
-
-
-def content_slots(classes: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, slots, others): the paths of each host's content slots and of its other slots; hosts with fewer pages than `min_pages` have no row."""
-    t = classes.where(F.col("n") >= min_pages)
-    # the slot of a token: the deepest root-class token on its path
-    parts = F.split("path", ">")
-    up = t.select("host", "path", F.explode(F.expr("transform(sequence(1, size(split(path, '>'))), i -> array_join(slice(split(path, '>'), 1, i), '>'))")).alias("slot"))
-    roots = t.where("root").select("host", F.col("path").alias("slot"), F.col("main").alias("slot_main"), F.col("junk").alias("slot_junk"))
-    own = up.join(roots, ["host", "slot"]).groupBy("host", "path").agg(
-        F.max_by(F.struct("slot", "slot_main", "slot_junk"), F.length("slot")).alias("s")).select("host", "path", "s.*")
-    t = t.join(own, ["host", "path"]).withColumn("depth", F.size(parts))
-    varies = (F.col("lo") != F.col("hi")) | ((F.col("pages") < F.col("n")) & (F.col("plain") > 0))
-    slots = t.where(~F.col("slot_junk") & ~F.col("junk")).groupBy("host", "slot", "slot_main").agg(
-        F.sum("plain").alias("plain"), F.sum("linked").alias("linked"), F.max(varies).alias("varies"))
-    # the main slots if the template has any, else all whose text varies and is not mostly links
-    slots = slots.withColumn("any_main", F.max("slot_main").over(Window.partitionBy("host")))
-    chosen = F.col("slot_main") | (~F.col("any_main") & F.col("varies") & (F.col("plain") > F.col("linked")))
-    given = slots.groupBy("host").agg(
-        F.array_sort(F.collect_set(F.when(chosen, F.col("slot")))).alias("slots"), F.array_sort(F.collect_set(F.when(~chosen, F.col("slot")))).alias("others"))
-    # what is nested in a given slot with no other slot between needs no name of its own
-    between = "exists(others, o -> startswith(s, concat(o, '>')) and length(o) > length(u))"
-    outer = F.expr(f"filter(slots, s -> not exists(slots, u -> startswith(s, concat(u, '>')) and not {between}))")
-    return given.where(F.size("slots") > 0).withColumn("slots", outer)  # a template's slots
+    """(host, role, klass, pages, n) of pages(host, html): each role with its class and its number of distinct pages, of n of the host."""
+    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("role", pa.int64())])
+
+    def of(row):
+        page = _page(row["html"])
+        return [(row["host"], page, box.role) for kind, box, _, _ in walk(row["html"]) if kind == "open"]
+
+    # copies of a page count once
+    t = text_batches(pages).mapInArrow(lambda b: _rows(b, schema, of), "host string, page long, role long").distinct()
+    t = t.groupBy("host", "role").agg(F.count("*").alias("pages"), F.sum(F.col("page").cast("decimal(38,0)")).alias("vector"))
+    n = t.where("role = 0").select("host", F.col("pages").alias("n"))
+    return t.join(n, "host").select("host", "role", F.xxhash64("pages", "vector").alias("klass"), "pages", "n")
+
+
+def templates(classes: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, template): the roles of each host's frequent classes, with their class."""
+    t = classes.where((F.col("pages") >= min_pages) & (F.col("pages") >= SUPPORT * F.col("n")))
+    return t.groupBy("host").agg(F.collect_list(F.struct("role", "klass")).alias("template"))
+
+
+def content_slots(pages: DataFrame, found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, slots): the valid template roles of each host, each with what its slot is, from pages(host, html) and `templates`."""
+    names = "host page slot around text plain linked main junk order".split()
+    types = [pa.string()] + [pa.int64()] * 7 + [pa.bool_(), pa.int64()]
+    schema = pa.schema(list(zip(names, types)))
+
+    def of(row):
+        page, template = _page(row["html"]), {t["role"]: t["klass"] for t in row["template"]}
+        slots: dict[int, list] = {}
+        orders: dict[tuple, list[int]] = {}
+        for kind, box, raw, link in _events(row["html"], template):
+            if kind == "open":
+                if box.slot == box.role:
+                    around = box.up.slot if box.up else None
+                    slots[box.role] = [around, [], 0, 0, box]
+                    orders.setdefault((around, template[box.role]), []).append(box.role)
+            elif kind == "text" and not box.junk and not raw.isspace():
+                s = slots[box.slot]
+                s[1].append(" ".join(raw.split()))
+                s[2 + link] += len(raw)
+        for role, (around, texts, plain, linked, box) in slots.items():
+            text = xxhash.xxh64_intdigest(" ".join(texts).encode("utf-8", "surrogatepass")) >> 1 if texts else None
+            order = xxhash.xxh64_intdigest(",".join(map(str, orders[around, template[role]]))) >> 1
+            yield row["host"], page, role, around, text, plain, linked, box.main, box.junk, order
+
+    t = text_batches(pages.join(found, "host")).mapInArrow(
+        lambda b: _rows(b, schema, of),
+        "host string, page long, slot long, around long, text long, plain long, linked long, main long, junk boolean, order long").distinct()
+    t = t.groupBy("host", "slot", "around", "main", "junk").agg(
+        F.min("text").alias("lo"), F.max("text").alias("hi"), F.count("text").alias("texts"), F.sum("plain").alias("plain"), F.sum("linked").alias("linked"),
+        (F.min("order") == F.max("order")).alias("valid"))
+    # the text of what is not in one order belongs to the element around it
+    t = t.withColumn("slot", F.when(F.col("valid"), F.col("slot")).otherwise(F.col("around")))
+    t = t.groupBy("host", "slot").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("texts").alias("texts"), F.sum("plain").alias("plain"), F.sum("linked").alias("linked"),
+        F.max(F.when(F.col("valid"), F.col("main"))).alias("main"), F.max(F.col("junk") & F.col("valid")).alias("junk"), F.max("valid").alias("valid"))
+    differs = F.coalesce((F.col("lo") != F.col("hi")) | (F.col("texts") < min_pages), F.lit(False))
+    t = t.where("valid").withColumn("differs", differs & ~F.col("junk"))
+    # an article that differs makes those that are alike on all pages template; without one they are kept
+    t = t.withColumn("own", F.max("differs").over(Window.partitionBy("host", "main"))).withColumn(
+        "any", F.max(F.col("differs") & F.col("main").isNotNull()).over(Window.partitionBy("host")))
+    kind = F.when(F.col("junk"), OTHER).when(F.col("main").isNotNull(), F.when(F.col("own") | ~F.col("any"), MAIN).otherwise(SAME)).when(
+        F.col("differs") & (F.col("plain") > F.col("linked")), CONTENT).otherwise(OTHER)
+    return t.groupBy("host").agg(F.collect_list(F.struct(F.col("slot").alias("role"), kind.alias("kind"))).alias("slots"))
 
 
 def host_of(url: Column) -> Column:
@@ -237,14 +270,16 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", html: str
     Repeated rows come out each; an empty table gives no rows; other columns are not read.
     """
     own = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    slots = cut_lineage(content_slots(cut_lineage(token_classes(own.select("host", "html"))), min_pages))
-    joined = text_batches(own.join(slots, "host", "left"))
+    read = own.select("host", "html")
+    found = cut_lineage(templates(token_classes(read), min_pages))
+    slots = cut_lineage(content_slots(read, found, min_pages))
     schema = own.select("id", "url").schema.add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [extract(h, frozenset(s or ()), frozenset(o or ())) for h, s, o in zip(*(b.column(c).to_pylist() for c in ("html", "slots", "others")))]
+            kinds = ({s["role"]: s["kind"] for s in of or ()} for of in b.column("slots").to_pylist())
+            texts = [extract(h, k) for h, k in zip(b.column("html").to_pylist(), kinds)]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
-    out = joined.select("id", "url", "html", "slots", "others").mapInArrow(run, schema)
+    out = text_batches(own.join(slots, "host", "left")).select("id", "url", "html", "slots").mapInArrow(run, schema)
     return out.select(F.col("id").alias(id), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
