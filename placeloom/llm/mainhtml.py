@@ -203,6 +203,7 @@ def token_classes(pages: DataFrame) -> DataFrame:
     # copies of a page count once
     t = text_batches(pages).mapInArrow(lambda b: _rows(b, schema, of), "host string, page long, role long").distinct()
     t = t.groupBy("host", "role").agg(F.count("*").alias("pages"), F.sum(F.col("page").cast("decimal(38,0)")).alias("vector"))
+    t = cut_lineage(t)  # read twice
     n = t.where("role = 0").select("host", F.col("pages").alias("n"))
     return t.join(n, "host").select("host", "role", F.xxhash64("pages", "vector").alias("klass"), "pages", "n")
 
