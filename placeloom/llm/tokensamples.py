@@ -21,6 +21,8 @@ WORDS = (
     "parent path payment person phone photo picture place plan platform player point policy post press price print private process product profile project property public question"
 ).split()
 
+ACRONYMS = "API CPU CSV DNS GPU HTML IO JSON JWT SDK SQL SSH TCP UI URI XML".split()
+
 ALPHABETS = (
     string.ascii_letters + string.digits, string.ascii_letters + string.digits + "-_", string.ascii_uppercase + string.digits, string.ascii_uppercase + "234567",
     string.ascii_lowercase + string.digits, string.ascii_letters, string.digits + "ABCDEF")
@@ -44,12 +46,13 @@ def ordinary_tokens(seed: int, n: int, known: list[str]) -> list[str]:
         words = rng.choices(known, k=rng.randint(3, 7))
         if rng.random() < 0.4:
             words.insert(rng.randint(1, len(words)), number())
+        cased = [rng.choice(ACRONYMS) if rng.random() < 0.15 else w.capitalize() for w in words]
         glue = rng.choice("_-/")
         kind = rng.randrange(9)
         if kind == 0:
-            token = words[0] + "".join(w.capitalize() for w in words[1:])
+            token = words[0] + "".join(cased[1:])
         elif kind == 1:
-            token = "".join(w.capitalize() for w in words)
+            token = "".join(cased)
         elif kind == 2:
             token = glue.join(words).upper()
         elif kind == 3:
@@ -57,7 +60,7 @@ def ordinary_tokens(seed: int, n: int, known: list[str]) -> list[str]:
         elif kind == 4:
             token = "/".join(words[:-1]) + "/" + "".join(w.capitalize() for w in rng.choices(known, k=3))
         elif kind == 5:
-            token = "-".join(words) + f"-{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}"
+            token = "-".join(words) + f"-{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}" + rng.choice(("", f"T{rng.randint(0, 235959):06}Z"))
         elif kind == 6:
             token = f"/{rng.randint(1990, 2030)}/{rng.randint(1, 12):02}/{rng.randint(1, 28):02}/" + "-".join(words)
         elif kind == 7:
