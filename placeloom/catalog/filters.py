@@ -134,7 +134,7 @@ FLAT_SQL.append(FLAT)
 
 
 def visit_rows(t):
-    al = t("aliases_v").select(K.visitor_code(K.visitor_id("openid", F.lit("app"))).alias("visitor_code"), "name")
+    al = t("aliases_v").select(K.visitor_id("openid", F.lit("app")).alias("visitor_id"), "name")
     return V.ingest(t("visits_v"), al, "app")
 
 

@@ -69,10 +69,14 @@ def validate(df: DataFrame) -> DataFrame:
 
 
 def ingest(events: DataFrame, aliases: DataFrame, appid: str) -> DataFrame:
-    """Raw event → visit row: validated, hashed identity, flat location, visitor name."""
+    """Raw event → visit row: validated, hashed identity, flat location, visitor name.
+
+    aliases(visitor_id, name): names go by the whole hash, since the six digits of a code are shared by several
+    visitors once there are some thousand of them.
+    """
     v = validate(events).withColumn("visitor_id", K.visitor_id("openid", F.lit(appid)))
     v = flatten_geocode(v.withColumn("visitor_code", K.visitor_code(F.col("visitor_id"))))
-    v = v.join(aliases.select("visitor_code", F.col("name").alias("visitor_name")), "visitor_code", "left")
+    v = v.join(aliases.select("visitor_id", F.col("name").alias("visitor_name")), "visitor_id", "left")
     return v.withColumn("visitor_name", text("visitor_name")).drop("openid", "payload")
 
 
