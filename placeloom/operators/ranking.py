@@ -57,15 +57,21 @@ def append_to_free_slots(existing: DataFrame, incoming: DataFrame, quota: Column
         "sort_order", (F.col("have") + F.col("slot") - 1).cast("long"))
 
 
-def even_sample(rows: DataFrame, n: int, order: list[Column | str], pinned: DataFrame | None = None) -> DataFrame:
-    """n rows at evenly spaced positions with the pinned ids kept, in the original order (column `pos`)."""
+def even_sample(
+    rows: DataFrame, n: int, order: list[Column | str], pinned: DataFrame | None = None, all_pinned: bool = False
+) -> DataFrame:
+    """n rows at evenly spaced positions with the pinned ids kept, in the original order (column `pos`).
+
+    The first n of more than n pinned rows; with `all_pinned` every one of them.
+    """
     total = rows.count()
     if n <= 0 or total <= n:
         return rank_within(rows, [], order, "pos")
     if pinned is None:
         rest, fixed, slots = rows, None, n
     else:
-        fixed = top_by(rows.join(pinned, "id", "left_semi"), order, n)
+        fixed = rows.join(pinned, "id", "left_semi")
+        fixed = fixed if all_pinned else top_by(fixed, order, n)
         slots = n - fixed.count()
         rest = rows.join(pinned, "id", "left_anti")
     chosen = None

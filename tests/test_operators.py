@@ -207,6 +207,12 @@ def test_even_sample(spark, n, pins):
     assert [r.id for r in out.orderBy("pos").collect()] == want
 
 
+def test_even_sample_keeps_all_pinned(spark):
+    df = spark.createDataFrame([(f"place-{i:03d}",) for i in range(100)], "id string")
+    pinned = df.where("id < 'place-009'")
+    assert [r.id for r in R.even_sample(df, 7, ["id"], pinned, all_pinned=True).orderBy("pos").collect()] == [f"place-{i:03d}" for i in range(9)]
+
+
 def test_mentions_equal_brute_force(spark, hot):
     r = random.Random(23)
     word = lambda k: "".join(r.choice("abc") for _ in range(k))
