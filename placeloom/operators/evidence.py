@@ -9,18 +9,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from placeloom import dims
 from placeloom.functions import text as T
 from placeloom.operators.grams import bit_table, grams_in
-from placeloom.operators.scale import first_per_key, skew_join, spread, top_k
+from placeloom.operators.scale import first_per_key, keep_value, skew_join, spread, top_k
 from placeloom.session import cut_lineage
 
 GRAM = 4
 SIZES = 4  # lengths of runs: GRAM, twice, four and eight times as many letters
 
 
-def page_lines(pages: DataFrame, body: str = "text") -> DataFrame:
-    """(page_id, line_no, line): cleaned non-empty lines with their 1-based number."""
+def page_lines(pages: DataFrame, body: str = "text", keep: list[str] = ()) -> DataFrame:
+    """(page_id, *keep, line_no, line): cleaned non-empty lines with their 1-based number."""
     pieces = F.posexplode(F.split(T.text(body), "\n"))
-    lines = spread(pages).select("page_id", pieces.alias("i", "raw"))
-    return lines.select("page_id", (F.col("i") + 1).alias("line_no"), T.clean_markdown("raw").alias("line")).where("line <> ''")
+    lines = spread(pages).select("page_id", *keep, pieces.alias("i", "raw"))
+    return lines.select("page_id", *keep, (F.col("i") + 1).alias("line_no"), T.clean_markdown("raw").alias("line")).where("line <> ''")
 
 
 def with_context(pages: DataFrame, body: str = "text") -> DataFrame:
@@ -72,10 +72,24 @@ def evidence_kinds(context: Column, is_source: Column, terms: list[str] = dims.F
     ])
 
 
-def cap_evidence(rows: DataFrame, keys: list[str], order: list, cap: int, text_col: str = "context", compared: int | None = None) -> DataFrame:
-    """First `cap` rows per key with different normalised text; `compared` limits the comparison to leading characters."""
-    text = F.col(text_col) if compared is None else F.substring(text_col, 1, compared)
-    uniq = first_per_key(rows.withColumn("_key", T.alnum_key(text)).where("_key <> ''"), [*keys, "_key"], order)
+def text_digest(key: Column) -> Column:
+    """SHA-256 of a normalised text, 32 bytes that stand for it in comparisons; NULL for an empty one."""
+    return F.when(key != "", F.unhex(F.sha2(key, 256)))
+
+
+def cap_evidence(
+    rows: DataFrame, keys: list[str], order: list, cap: int, text_col: str = "context", compared: int | None = None, digest: str | None = None
+) -> DataFrame:
+    """First `cap` rows per key with different normalised text; `compared` limits the comparison to leading characters.
+
+    Texts are compared by their digests. With `digest`, a column made by text_digest, rows need not carry the text.
+    """
+    if digest is None:
+        text = F.col(text_col) if compared is None else F.substring(text_col, 1, compared)
+        rows = keep_value(rows, "_key", text_digest(T.alnum_key(text)))
+    else:
+        rows = keep_value(rows, "_key", F.col(digest))
+    uniq = first_per_key(rows, [*keys, "_key"], order)
     return top_k(uniq, keys, order, cap, "rank").drop("_key")
 
 

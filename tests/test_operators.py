@@ -436,3 +436,13 @@ def test_names_at_one_address(spark):
     got = {(x.a_id, x.b_id) for x in DUP._equal_key_pairs(k, ["addr", "key"]).select("a_id", "b_id").distinct().collect()}
     assert want <= got
     assert met.count() < 12_500_000 / 20
+
+
+def test_cap_evidence_by_digest(spark):
+    """Rows that carry only the digest of their text are capped as those with the text."""
+    texts = ["热水 A", "热水a", "。", "热水 b", "x" * 900 + "1", "x" * 900 + "2"]
+    rows = spark.createDataFrame([(k, n, t) for k in "ab" for n, t in enumerate(texts)], "k string, n int, context string")
+    slim = rows.select("k", "n", EV.text_digest(T.alnum_key("context")).alias("d"))
+    got = {tuple(r) for r in EV.cap_evidence(slim, ["k"], ["n"], 3, digest="d").select("k", "n", "rank").collect()}
+    assert got == {tuple(r) for r in EV.cap_evidence(rows, ["k"], ["n"], 3).select("k", "n", "rank").collect()}
+    assert got == {(k, n, i) for k in "ab" for i, n in enumerate((0, 3, 4), 1)}
