@@ -183,8 +183,8 @@ def h16(t):
     j = skew_join(t("links_v"), t("places_v").select(F.col("id").alias("place_id"), "name"), ["place_id"])
     host = K.url_host("raw_url")
     lead = F.when(F.col("lp") % 5 == 0, F.col("name")).otherwise("")
-    return j.withColumn("host", host).select(
-        "place_id", "lo", "position", "lp", EV.source_score("name", F.col("host"), lead, "title").alias("score"),
+    return EV.with_source_score(t("links_v").withColumn("host", K.url_host("raw_url")), names, lead, "title").select(
+        "place_id", "lo", "position", "lp", "score",
         EV.facility_source_score("raw_url", F.col("host"), F.col("channel"), "title", F.lit(""), "position", dims.FACILITY_TERMS).alias("facility_score"))
 
 

@@ -13,9 +13,16 @@ _URL = r"(?s)^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?.*$"
 _PARTS = {"PROTOCOL": 0, "AUTHORITY": 1, "PATH": 2, "QUERY": 3}
 
 
+class Parts(str):
+    """Name of a column of url_parts; the functions below take it for the URL, which is then parsed once."""
+
+
+def url_parts(url) -> Column:
+    return F.split(F.regexp_replace(text(url), _URL, "$1\u0001$2\u0001$3\u0001$4"), "\u0001")
+
+
 def _part(url, name: str) -> Column:
-    parts = F.split(F.regexp_replace(text(url), _URL, "$1\u0001$2\u0001$3\u0001$4"), "\u0001")
-    return F.get(parts, F.lit(_PARTS[name]))
+    return F.get(F.col(url) if isinstance(url, Parts) else url_parts(url), F.lit(_PARTS[name]))
 
 
 def url_scheme(url) -> Column:

@@ -103,20 +103,30 @@ def block_score(terms_found: Column, longest_alias: Column, text: Column) -> Col
 # ---- relevance scores -------------------------------------------------------------
 
 def count_terms(value: Column, terms: list[str]) -> Column:
-    low = F.lower(value)
+    return count_in(F.lower(value), terms)
+
+
+def count_in(low: Column, terms: list[str]) -> Column:
     return sum((low.contains(t).cast("int") for t in terms), F.lit(0))
 
 
-def source_score(place_name, host: Column, text, title, terms: list[str] = dims.FIELD_TERMS) -> Column:
-    t = F.concat_ws(" ", T.text(text), T.text(title))
-    key = T.alnum_key(t)
-    full, flat = T.alnum_key(place_name), T.alnum_key(T.sub(T.text(place_name), ("[（）()]", "")))
-    bare = T.alnum_key(T.sub(T.text(place_name), (T.ROUND_BRACKETS, "")))
+def with_source_score(rows: DataFrame, names: DataFrame, text, title, terms: list[str] = dims.FIELD_TERMS) -> DataFrame:
+    """rows(place_id, host, ...) joined with names(place_id, name), and their score. A name's keys are made once a place,
+    a text is lower-cased once a row."""
+    keyed = names.select("place_id", "name", T.alnum_key("name").alias("_full"),
+                         T.alnum_key(T.sub(T.text("name"), ("[（）()]", ""))).alias("_flat"), T.alnum_key(T.sub(T.text("name"), (T.ROUND_BRACKETS, ""))).alias("_bare"))
+    met = skew_join(rows, keyed, ["place_id"])
+    met = met.withColumn("_low", F.lower(F.concat_ws(" ", T.text(text), T.text(title)))).withColumn("_key", T.sub("_low", (T.NOT_WORD, "")))
+    return met.withColumn("score", _source_points(F.col("host"), terms)).drop("_full", "_flat", "_bare", "_low", "_key")
+
+
+def _source_points(host: Column, terms: list[str]) -> Column:
+    low, key, full, flat, bare = (F.col(c) for c in ("_low", "_key", "_full", "_flat", "_bare"))
     name = (F.when((full != "") & key.contains(full), 90).when((flat != "") & key.contains(flat), 70)
             .when(key.contains(bare), 30).otherwise(0))
     pts = lambda cond, n: F.when(cond, n).otherwise(0)
     return (
-        count_terms(t, terms) * 9 + name
+        count_in(low, terms) * 9 + name
         + pts(host.endswith("gov.cn") | host.contains(".gov.cn"), 100)
         + pts(host.contains("library") | host.endswith("sh.cn"), 70)
         + pts(host.rlike(r"xiaohongshu|dianping|weibo|amap|map\.qq"), 55)

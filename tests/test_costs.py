@@ -17,3 +17,15 @@ def test_stored_files_follow_rows(spark, tmp_path, monkeypatch):
     spark.range(100).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
     monkeypatch.setattr(derived, "FILE_ROWS", 5)
     assert Tables(spark, str(tmp_path))("viewports_v").inputFiles().__len__() == 20
+
+
+@pytest.mark.parametrize("name", ["h16_source_scores", "k6_rank_sources"])
+def test_place_names_keyed_before_the_join(spark, name):
+    text = plan(spark, name)
+    joined, below = text[:text.index("Join Inner")], text[text.index("Join Inner"):]
+    assert "[（(].*?[）)]" not in joined and "[（(].*?[）)]" in below
+
+
+def test_url_parsed_once(spark):
+    text = plan(spark, "k6_rank_sources")
+    assert text[text.index("Join Inner"):].count("(?s)^(?:([^:/?#]+):)?") == 1
