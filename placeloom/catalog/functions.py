@@ -203,8 +203,8 @@ def h16n(t):
       regexp_matches(body, '开放时间|营业时间|服务时间|供餐时间|周[一二三四五六日天]|每天|每日|上午|下午|早餐|午餐|晚餐') AND regexp_matches(body, '(?:[01]?[0-9]|2[0-4])\s*[:：]\s*[0-5][0-9]')
         AND regexp_matches(body, '(?:开放时间|营业时间|服务时间|供餐时间)[^。；;\n]{0,80}(?:[01]?[0-9]|2[0-4])\s*[:：]\s*[0-5][0-9]') AS has_hours FROM notes_v""")
 def h17(t):
-    kinds = EV.evidence_kinds(F.col("body"), F.lit(False))
-    return t("notes_v").select("note_id", T.labelled_address("body").alias("address"), T.labelled_hours("body").alias("hours"), F.array_contains(kinds, "hours").alias("has_hours"))
+    has_hours = F.coalesce(EV.holds_hours(F.col("body"), F.lit(False)), F.lit(False))
+    return t("notes_v").select("note_id", T.labelled_address("body").alias("address"), T.labelled_hours("body").alias("hours"), has_hours.alias("has_hours"))
 
 
 def _clauses(x):

@@ -67,11 +67,15 @@ def evidence_kinds(context: Column, is_source: Column, terms: list[str] = dims.F
     found = F.lower(context).rlike("|".join(re.escape(t) for t in terms))
     return T.codes([
         ("address", context.rlike(dims.ADDRESS_CONTEXT) & context.rlike(dims.ADDRESS_VALUE) & (is_source | context.rlike(dims.ADDRESS_ASSERTION))),
-        ("hours", context.rlike(dims.TIME_CONTEXT) & context.rlike(dims.TIME_VALUE) & (is_source | context.rlike(dims.HOURS_ASSERTION))),
+        ("hours", holds_hours(context, is_source)),
         ("facility", found & (is_source | context.rlike(dims.FACILITY_ASSERTION))),
     ])
 
 
+def holds_hours(context: Column, is_source: Column) -> Column:
+    return context.rlike(dims.TIME_CONTEXT) & context.rlike(dims.TIME_VALUE) & (is_source | context.rlike(dims.HOURS_ASSERTION))
+
+
 def text_digest(key: Column) -> Column:
     """SHA-256 of a normalised text, 32 bytes that stand for it in comparisons; NULL for an empty one."""
     return F.when(key != "", F.unhex(F.sha2(key, 256)))

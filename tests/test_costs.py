@@ -19,6 +19,10 @@ def test_stored_files_follow_rows(spark, tmp_path, monkeypatch):
     assert Tables(spark, str(tmp_path))("viewports_v").inputFiles().__len__() == 20
 
 
+def test_hours_alone(spark):
+    assert "插座" not in plan(spark, "h17_extraction")  # no search for facilities where only hours are asked for
+
+
 @pytest.mark.parametrize("name", ["h16_source_scores", "k6_rank_sources"])
 def test_place_names_keyed_before_the_join(spark, name):
     text = plan(spark, name)
