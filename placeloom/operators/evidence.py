@@ -170,7 +170,7 @@ def body_match(name, address, title, body) -> dict[str, Column]:
     norm, norm_place = T.normalize_name(full, "notes"), T.normalize_name(name, "notes")
     door = T.sub(T.clean_text(address), ("^上海市?", ""))
     pattern = r"([^区县,，。；;]{1,30}(?:公路|大道|路|街|道|弄|巷|村))(\d+)(?:弄(\d+))?号?"
-    door = F.concat(*[F.regexp_extract(door, pattern, i) for i in (1, 2, 3)])
+    door = F.regexp_replace(F.regexp_extract(door, pattern, 0), f"^{pattern}$", "$1$2$3")  # one search of the address, not three
     names = "|".join(dims.SHANGHAI_DISTRICTS)
     own = F.regexp_extract(T.clean_text(address), names, 0)
     seen = F.regexp_extract_all(full, F.lit(f"({names})"), F.lit(1))

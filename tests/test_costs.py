@@ -28,6 +28,12 @@ def test_note_score_not_in_filter(spark):
     assert "published" in lowest and "regexp" not in lowest
 
 
+def test_door_of_address_searched_once(spark):
+    doors = "([^区县,，。；;]{1,30}"
+    whole = plan(spark, "h16_note_scores")
+    assert whole.count(doors) == whole.count("^" + doors) * 2  # every search with its split of the match, and no others
+
+
 @pytest.mark.parametrize("name", ["h16_source_scores", "k6_rank_sources"])
 def test_place_names_keyed_before_the_join(spark, name):
     text = plan(spark, name)
