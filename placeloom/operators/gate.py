@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from placeloom.functions import rules, text as T
-from placeloom.operators.scale import rank_within, skew_join
+from placeloom.operators.scale import keep_value, rank_within, skew_join
 
 
 def best_accepted(scored: DataFrame) -> DataFrame:
     """Accepted candidate per place: score, then the shorter movement, then the candidate number; a partial minimum."""
     order = F.struct((-F.col("score")).alias("s"), F.col("movement_m").alias("m"), F.col("cand_no").alias("cand_no"))
-    g = scored.where("accepted").groupBy("place_id").agg(F.min(order).alias("b"))
+    # a plain filter would repeat the whole scoring
+    g = keep_value(scored, "_ok", F.when(F.col("accepted"), True)).groupBy("place_id").agg(F.min(order).alias("b"))
     return g.select("place_id", F.col("b.cand_no").alias("cand_no"), (-F.col("b.s")).alias("score"), F.col("b.m").alias("movement_m"))
 
 

@@ -44,3 +44,8 @@ def test_place_names_keyed_before_the_join(spark, name):
 def test_url_parsed_once(spark):
     text = plan(spark, "k6_rank_sources")
     assert text[text.index("Join Inner"):].count("(?s)^(?:([^:/?#]+):)?") == 1
+
+
+def test_scores_stay_out_of_join_conditions(spark):
+    joins = [line for line in plan(spark, "g4_duplicates").split("\n") if "- Join " in line]
+    assert joins and not any("regexp" in line for line in joins)
