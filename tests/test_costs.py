@@ -49,3 +49,12 @@ def test_url_parsed_once(spark):
 def test_scores_stay_out_of_join_conditions(spark):
     joins = [line for line in plan(spark, "g4_duplicates").split("\n") if "- Join " in line]
     assert joins and not any("regexp" in line for line in joins)
+
+
+def test_reconcile_scores_once(spark):
+    # the scores are stored, so the plan that reads them holds no scan of the candidates
+    assert "cand_no" in plan(spark, "c17_address_reconcile") and Tables(spark, FOLDER).path("cands_v") not in plan_files(spark, "c17_address_reconcile")
+
+
+def plan_files(spark, name):
+    return " ".join(QUERIES[name](spark, FOLDER).inputFiles())
