@@ -111,6 +111,16 @@ def covers(points: DataFrame, boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return skew_join(points, best.select(key, "cover"), ["cell"], "left"), tested
 
 
+def newest_over(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(id, version): the greatest version of the boxes over each of the points(id, latitude, longitude); points without one go."""
+    rows, edges = covers(points.select("id", "latitude", "longitude"), boxes)
+    rows = cut_lineage(rows)
+    met = skew_join(rows, edges, ["cell"]).where(
+        F.col("latitude").between(F.col("south"), F.col("north")) & F.col("longitude").between(F.col("west"), F.col("east")))
+    both = rows.select("id", F.col("cover").alias("version")).unionByName(met.select("id", "version"))
+    return both.where("version IS NOT NULL").groupBy("id").agg(F.max("version").alias("version"))
+
+
 def wiped(written: DataFrame, wipes: DataFrame) -> DataFrame:
     """(id, seq) of the rows(id, seq, latitude, longitude) over which a box with a greater version lies.
 

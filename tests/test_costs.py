@@ -58,3 +58,13 @@ def test_reconcile_scores_once(spark):
 
 def plan_files(spark, name):
     return " ".join(QUERIES[name](spark, FOLDER).inputFiles())
+
+
+def test_snapshots_meet_no_place_of_every_viewport(spark, monkeypatch):
+    from placeloom.operators import grid
+
+    def refuse(*a, **k):
+        raise AssertionError("all places of all viewports")
+
+    monkeypatch.setattr(grid, "points_in_boxes", refuse)
+    assert QUERIES["g3_snapshot_merge"](spark, FOLDER).count() > 0

@@ -109,3 +109,21 @@ def test_viewport_pages_equal_sorted_lists(spark):
             seen = sorted(i for i, c, *at in places if (cat == "全部" or c == cat) and inside(at, box))
             want |= {(vid, i, k + 1, len(seen) > limit) for k, i in enumerate(seen[:limit])}
         assert {tuple(r) for r in viewport_pages(v, p, limit).collect()} == want
+
+
+def test_newest_over_is_the_greatest_version_of_all_boxes(spark):
+    rnd = random.Random(5)
+    boxes = []
+    for v in range(1, 60):
+        s, w = 30 + rnd.random(), 120 + rnd.random()
+        boxes.append((s, s + rnd.random() / 2, w, w + rnd.random() / 2, v))
+    points = [(f"p{i}", 30 + rnd.random() * 1.6, 120 + rnd.random() * 1.6) for i in range(400)]
+    got = covers.newest_over(
+        spark.createDataFrame(points, "id string, latitude double, longitude double"),
+        spark.createDataFrame(boxes, "south double, north double, west double, east double, version long"))
+    want = {}
+    for i, y, x in points:
+        over = [v for s, n, w, e, v in boxes if s <= y <= n and w <= x <= e]
+        if over:
+            want[i] = max(over)
+    assert {r["id"]: r["version"] for r in got.collect()} == want
