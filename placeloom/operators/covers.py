@@ -79,46 +79,49 @@ def levelled(boxes: DataFrame) -> tuple[DataFrame, list[int], list[int]]:
     return boxes, sorted({v + j for v in own for j in range(DEPTH + 1)}), [v + DEPTH for v in own]
 
 
-def covers(points: DataFrame, boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def covers(points: DataFrame, boxes: DataFrame, on: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(points, edges): points gain `cell` and `cover`, the greatest version whose box holds the point's whole cell;
-    edges(cell, south, north, west, east, version) are the boxes to test point by point, those newer than the cell's cover only.
+    edges(*on, cell, south, north, west, east, version) are the boxes to test point by point, those newer than the cell's cover only.
 
     boxes(south, north, west, east, version), corners in any order, edges included. A point without a finite
-    position has no cell. Of equal boxes the newest is taken.
+    position has no cell. Of equal boxes the newest is taken. Points meet only boxes that agree in the columns `on`.
     """
-    boxes = ordered_boxes(boxes).groupBy("south", "north", "west", "east").agg(F.max("version").alias("version"))
+    on = list(on)
+    boxes = ordered_boxes(boxes).groupBy(*on, "south", "north", "west", "east").agg(F.max("version").alias("version"))
     boxes, levels, leaves = levelled(boxes)
     finest = max(leaves)
-    whole, edges = cut_boxes(boxes, ["version"])
-    whole = cut_lineage(whole.groupBy("lv", "y", "x").agg(F.max("version").alias("version")))
-    over = whole.select(F.col("lv").alias("_to"), F.col("y").alias("_cy"), F.col("x").alias("_cx"), F.col("version").alias("cover"))
+    whole, edges = cut_boxes(boxes, [*on, "version"])
+    whole = cut_lineage(whole.groupBy(*on, "lv", "y", "x").agg(F.max("version").alias("version")))
+    over = whole.select(*on, F.col("lv").alias("_to"), F.col("y").alias("_cy"), F.col("x").alias("_cx"), F.col("version").alias("cover"))
 
     # an edge that a newer box covers in the whole cell says nothing there
-    crossed = edges.select("lv", "y", "x").distinct()
-    hidden = _above(crossed, F.col("lv"), levels).join(over, ["_to", "_cy", "_cx"]).groupBy("lv", "y", "x").agg(F.max("cover").alias("cover"))
-    edges = edges.join(hidden, ["lv", "y", "x"], "left").where("cover IS NULL OR version > cover")
-    edges = cut_lineage(edges.select(F.col("lv").alias("_to"), F.col("y").alias("_cy"), F.col("x").alias("_cx"), "south", "north", "west", "east", "version"))
+    crossed, own = edges.select(*on, "lv", "y", "x").distinct(), [*on, "lv", "y", "x"]
+    hidden = skew_join(_above(crossed, F.col("lv"), levels), over, [*on, "_to", "_cy", "_cx"], grown=True).groupBy(*own).agg(F.max("cover").alias("cover"))
+    edges = skew_join(edges, hidden, own, "left", grown=True).where("cover IS NULL OR version > cover")
+    edges = cut_lineage(edges.select(*on, F.col("lv").alias("_to"), F.col("y").alias("_cy"), F.col("x").alias("_cx"), "south", "north", "west", "east", "version"))
 
     at = lambda c: F.floor(F.col(c) / F.lit(360.0 / 2**finest)).cast("long")
     cell = F.when(geo.finite("latitude", "longitude"), F.struct(at("latitude").alias("y"), at("longitude").alias("x")))
     points = points.withColumn("cell", cell)
-    cells = cut_lineage(points.where("cell IS NOT NULL").select("cell.*").distinct())
-    best = _above(cells, finest, levels).join(over, ["_to", "_cy", "_cx"]).groupBy("y", "x").agg(F.max("cover").alias("cover"))
-    tested = skew_join(_above(cells, finest, sorted(set(leaves))), edges, ["_to", "_cy", "_cx"])
-    tested = tested.join(best, ["y", "x"], "left").where("cover IS NULL OR version > cover")
+    cells = cut_lineage(points.where("cell IS NOT NULL").select(*on, "cell.*").distinct())
+    best = skew_join(_above(cells, finest, levels), over, [*on, "_to", "_cy", "_cx"], grown=True).groupBy(*on, "y", "x").agg(F.max("cover").alias("cover"))
+    tested = skew_join(_above(cells, finest, sorted(set(leaves))), edges, [*on, "_to", "_cy", "_cx"], grown=True)
+    tested = skew_join(tested, best, [*on, "y", "x"], "left", grown=True).where("cover IS NULL OR version > cover")
     key = F.struct("y", "x").alias("cell")
-    tested = tested.select(key, "south", "north", "west", "east", "version")
-    return skew_join(points, best.select(key, "cover"), ["cell"], "left"), tested
+    tested = tested.select(*on, key, "south", "north", "west", "east", "version")
+    return skew_join(points, best.select(*on, key, "cover"), [*on, "cell"], "left"), tested
 
 
-def newest_over(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(id, version): the greatest version of the boxes over each of the points(id, latitude, longitude); points without one go."""
-    rows, edges = covers(points.select("id", "latitude", "longitude"), boxes)
+def newest_over(points: DataFrame, boxes: DataFrame, on: list[str] = ()) -> DataFrame:
+    """(id, *on, version): the greatest version of the boxes, of those equal in `on`, over each of the points(id, *on, latitude,
+    longitude); points without one go."""
+    on = list(on)
+    rows, edges = covers(points.select("id", *on, "latitude", "longitude"), boxes, on)
     rows = cut_lineage(rows)
-    met = skew_join(rows, edges, ["cell"]).where(
+    met = skew_join(rows, edges, [*on, "cell"]).where(
         F.col("latitude").between(F.col("south"), F.col("north")) & F.col("longitude").between(F.col("west"), F.col("east")))
-    both = rows.select("id", F.col("cover").alias("version")).unionByName(met.select("id", "version"))
-    return both.where("version IS NOT NULL").groupBy("id").agg(F.max("version").alias("version"))
+    both = rows.select("id", *on, F.col("cover").alias("version")).unionByName(met.select("id", *on, "version"))
+    return both.where("version IS NOT NULL").groupBy("id", *on).agg(F.max("version").alias("version"))
 
 
 def wiped(written: DataFrame, wipes: DataFrame) -> DataFrame:

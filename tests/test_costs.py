@@ -1,6 +1,7 @@
 """What a plan must not do: write a growing table in a fixed number of tasks, or compute a costly score twice."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from placeloom.catalog import QUERIES
 from placeloom.sources import derived
@@ -68,3 +69,18 @@ def test_snapshots_meet_no_place_of_every_viewport(spark, monkeypatch):
 
     monkeypatch.setattr(grid, "points_in_boxes", refuse)
     assert QUERIES["g3_snapshot_merge"](spark, FOLDER).count() > 0
+
+
+def test_snapshot_stream_takes_each_newest_answer(spark, tmp_path):
+    """Forty snapshots over all places: two answers a place enter the stream, not forty times two thirds of them."""
+    from placeloom.catalog.tables import snapshot_parts
+
+    spark.range(90).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(40).selectExpr("6700 + id * 9900 AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    t = Tables(spark, str(tmp_path))
+    base, snaps, half, rows = snapshot_parts(t)
+    p, met = t("places_v"), snaps.withColumn("late", F.col("seq") > half)
+    inside = F.col("latitude").between(F.col("south"), F.col("north")) & F.col("longitude").between(F.col("west"), F.col("east"))
+    answers = p.crossJoin(met).where(inside & (F.col("k") % 3 != F.col("seq") % 3))
+    want = answers.groupBy("id", "late").agg(F.max("seq").alias("seq")).select("id", "seq").collect()
+    assert answers.count() > 2 * len(want) and sorted(rows.select("id", "seq").collect()) == sorted(want)
